@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tamarack.llm import exact_dedup, langid, sharding
+from tamarack.llm import exact_dedup, htmltext, langid, packing, quality, sharding, warc
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
     "op6_sharding": sharding.op6_sharding,
+    "op7_html_text": htmltext.op7_html_text,
     "op8_langid": langid.op8_langid,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE_SQL = {**exact_dedup.SQL}
+ORACLE_SQL = {**exact_dedup.SQL, **warc.SQL}
