@@ -123,8 +123,10 @@ def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
         size = 1 << max(16, int(n - 1).bit_length())
+        have = np.full(size, _P if which == "p" else _PINV, _U)
+        have[0] = 1
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[1], np.full(size - 1, _P if which == "p" else _PINV, _U)]).astype(_U), dtype=_U)
+            have = np.cumprod(have, dtype=_U)
         _powers[which] = have
     return have[:n]
 

@@ -28,11 +28,16 @@ def _bit(bits: Column, at: Column) -> Column:
     return (F.call_function("mod", F.floor(byte / F.pow(F.lit(2), at.bitwiseAND(F.lit(7)))), F.lit(2))) == 1
 
 
-def repeated_filter(probes: DataFrame, probe: str, blocks: int) -> DataFrame:
-    """The first pass: (block, bits) with a bit set where at least two rows of ``probes`` fell; at most ``blocks`` rows of 4 KB."""
+def bloom_blocks(rows: int, bits_per_row: int, max_bits: int) -> int:
+    """Blocks of a filter for so many rows: a power of two, of ``max_bits`` at most."""
+    return 1 << math.floor(math.log2(max(1, min(max_bits, rows * bits_per_row) // BLOCK_BITS)))
+
+
+def bloom_filter(probes: DataFrame, probe: str, blocks: int, least: int = 2) -> DataFrame:
+    """(block, bits) with a bit set where at least ``least`` rows of ``probes`` fell; at most ``blocks`` rows of 4 KB."""
     p = F.col(probe)
     cells = probes.select(F.pmod(p, F.lit(blocks)).alias("block"), F.explode(F.array(*_places(p))).alias("bit")).groupBy("block", "bit").agg(F.count("*").alias("n"))
-    return cells.filter("n > 1").groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("bit").cast("bigint")).alias("bits"))
+    return cells.filter(F.col("n") >= least).groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("bit").cast("bigint")).alias("bits"))
 
 
 def _places(p: Column) -> list[Column]:
@@ -40,6 +45,20 @@ def _places(p: Column) -> list[Column]:
     return [again.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"), F.shiftrightunsigned(again, 20).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")]
 
 
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (one column of that name, distinct), by a broadcast Bloom filter and then an exact join.
+
+    Only rows that pass the filter shuffle; rows with a null id never do.
+    """
+    ids = ids.select(F.col(id_col).alias(id_col))
+    probe, block, bits = (free_name(docs.columns, f"__{x}") for x in ("probe", "block", "bits"))
+    blocks = bloom_blocks(ids.count(), 32, max_bits)
+    filt = bloom_filter(ids.select(F.xxhash64(F.col(id_col).cast("string")).alias("p")), "p", blocks, 1).select(F.col("block").alias(block), F.col("bits").alias(bits))
+    flagged = docs.filter(F.col(id_col).isNotNull()).withColumn(probe, F.xxhash64(F.col(id_col).cast("string"))).withColumn(block, F.pmod(F.col(probe), F.lit(blocks)))
+    one, two = (_bit(F.col(bits), at) for at in _places(F.col(probe)))
+    return flagged.join(F.broadcast(filt), block).filter(one & two).select(*docs.columns).join(ids, id_col, "left_semi")
+
+
 def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256; such columns that ``docs`` has are replaced.
 
@@ -51,11 +70,10 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     outs = ["keep_id", "group_size", "kept", "text_sha256"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in outs and c not in (id_col, text_col)])
     block, bits, probe, sha = (free_name(docs.columns, f"__{x}") for x in ("block", "bits", "probe", "sha"))
-    blocks = max(1, min(max_bits, docs.count() * bits_per_row) // BLOCK_BITS)
-    blocks = 1 << math.floor(math.log2(blocks))
+    blocks = bloom_blocks(docs.count(), bits_per_row, max_bits)
     # lower() folds more than A-Z, so equal normalised texts still have equal probes; it is far cheaper than the exact form.
     probed = docs.withColumn(probe, F.xxhash64(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    filt = repeated_filter(probed.select(probe), probe, blocks).select(F.col("block").alias(block), F.col("bits").alias(bits))
+    filt = bloom_filter(probed.select(probe), probe, blocks).select(F.col("block").alias(block), F.col("bits").alias(bits))
     one, two = (_bit(F.col(bits), at) for at in _places(F.col(probe)))
     flagged = probed.withColumn(block, F.pmod(F.col(probe), F.lit(blocks))).join(F.broadcast(filt), block, "left")
     maybe = F.coalesce(one & two, F.lit(False))

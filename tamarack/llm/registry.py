@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tamarack.llm import exact_dedup, htmltext, langid, packing, quality, sharding, warc
+from tamarack.llm import exact_dedup, htmltext, langid, ngram_join, packing, quality, sharding, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
