@@ -45,18 +45,31 @@ def _places(p: Column) -> list[Column]:
     return [again.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"), F.shiftrightunsigned(again, 20).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")]
 
 
-def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids`` (one column of that name, distinct), by a broadcast Bloom filter and then an exact join.
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose id may be among ``ids`` (one column of that name, distinct), and rows whose id certainly isn't.
 
-    Only rows that pass the filter shuffle; rows with a null id never do.
+    A broadcast Bloom filter of the ids tells them apart, so neither part shuffles; null ids are in the second.
     """
-    ids = ids.select(F.col(id_col).alias(id_col))
-    probe, block, bits = (free_name(docs.columns, f"__{x}") for x in ("probe", "block", "bits"))
+    probe, block, bits, maybe = (free_name(docs.columns, f"__{x}") for x in ("probe", "block", "bits", "maybe"))
     blocks = bloom_blocks(ids.count(), 32, max_bits)
     filt = bloom_filter(ids.select(F.xxhash64(F.col(id_col).cast("string")).alias("p")), "p", blocks, 1).select(F.col("block").alias(block), F.col("bits").alias(bits))
-    flagged = docs.filter(F.col(id_col).isNotNull()).withColumn(probe, F.xxhash64(F.col(id_col).cast("string"))).withColumn(block, F.pmod(F.col(probe), F.lit(blocks)))
     one, two = (_bit(F.col(bits), at) for at in _places(F.col(probe)))
-    return flagged.join(F.broadcast(filt), block).filter(one & two).select(*docs.columns).join(ids, id_col, "left_semi")
+    hit = F.col(id_col).isNotNull() & F.coalesce(one & two, F.lit(False))
+    flagged = docs.withColumn(probe, F.xxhash64(F.col(id_col).cast("string"))).withColumn(block, F.pmod(F.col(probe), F.lit(blocks))).join(F.broadcast(filt), block, "left").withColumn(maybe, hit)
+    return flagged.filter(F.col(maybe)).select(*docs.columns), flagged.filter(~F.col(maybe)).select(*docs.columns)
+
+
+def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``: only rows that pass the Bloom filter take part in the exact join."""
+    ids = ids.select(F.col(id_col).alias(id_col))
+    return split_by_ids(docs, ids, id_col)[0].join(ids, id_col, "left_semi").select(*docs.columns)
+
+
+def rows_without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``ids``; those that the Bloom filter turns away pass straight through."""
+    ids = ids.select(F.col(id_col).alias(id_col))
+    maybe, rest = split_by_ids(docs, ids, id_col)
+    return rest.unionByName(maybe.join(ids, id_col, "left_anti").select(*docs.columns))
 
 
 def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32, max_bits: int = 1 << 28) -> DataFrame:

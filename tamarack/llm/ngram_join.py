@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import drop_staged, fold, mix, shingles, slices, staged, utf8, words
 from tamarack.llm.components import connected_components
-from tamarack.llm.exact_dedup import rows_with_ids
+from tamarack.llm.exact_dedup import rows_with_ids, rows_without_ids
 
 #: Linked: OF * intersection >= LEAST * union.
 LEAST, OF = 80, 100
@@ -305,7 +305,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` but for those of each component other than its smallest id; rows with a null id stay."""
     found = similar_components(docs, id_col, text_col)
     gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return rows_without_ids(docs, gone, id_col)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
