@@ -20,16 +20,24 @@ def laal(source: Column, deltas: Column, actions: Column, reference: Column) ->
     Characters that are never written count as emitted after the whole source. White space inside a delta is an
     emission; in the reference only U+0020 is left out.
     """
-    words = F.transform(source, lambda c: F.size(tokens(c)))
-    steps = F.sequence(F.lit(0), F.greatest(F.size(source) - 1, F.lit(0)))
-    read = F.transform(steps, lambda i: F.aggregate(F.slice(words, F.lit(1), i + 1), F.lit(0), lambda a, w: a + w))
-    times = F.flatten(F.transform(steps, lambda i: F.when(F.get(actions, i) == "WRITE", F.array_repeat(F.get(read, i), F.length(strip(blank(F.get(deltas, i)))))).otherwise(F.array().cast("array<int>"))))
-    x = F.aggregate(words, F.lit(0), lambda a, w: a + w)
+    rows = F.zip_with(F.zip_with(source, deltas, lambda s, d: F.struct(s.alias("s"), d.alias("d"))), actions, lambda r, a: F.struct(r["s"].alias("s"), r["d"].alias("d"), a.alias("a")))
+    zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("t"))
+
+    def step(acc: Column, r: Column) -> Column:
+        x = acc["x"] + F.size(tokens(r["s"]))
+        n = F.when(r["a"] == "WRITE", F.length(strip(blank(r["d"])))).otherwise(0)
+        return F.struct(x.alias("x"), (acc["k"] + n).alias("k"), (acc["t"] + n * x).alias("t"))
+
     y = F.length(F.array_join(F.filter(deltas, lambda d: d.isNotNull()), ""))
     ref = F.length(F.replace(blank(reference), F.lit(" "), F.lit("")))
     n = F.greatest(y, ref)
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(times, i - 1), x) - (i - 1) * x / F.greatest(n, F.lit(1)))
-    return F.when((y == 0) | (x == 0) | (ref == 0) | (F.size(times) == 0), F.lit(NAN)).otherwise(total / n)
+
+    def lag(r: Column) -> Column:
+        # The k emissions never outnumber n, so what is left of the n counts as the whole source.
+        total = r["t"] + (n - r["k"]) * r["x"] - r["x"] * (n - 1) / 2
+        return F.when((y == 0) | (r["x"] == 0) | (ref == 0) | (r["k"] == 0), F.lit(NAN)).otherwise(total / F.when(n != 0, n))
+
+    return F.aggregate(rows, zero, step, lag)
 
 
 def char_bleu_score(hypothesis: str | None, reference: str | None, order: int = 4, smooth: bool = True) -> float:

@@ -81,9 +81,9 @@ def share_below(spark, sf):
 
 @query("""
 WITH a AS (SELECT doc_id, n_chars / 1000.0 AS s FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, CAST(quality + toxic AS DOUBLE) AS s FROM labels)
-SELECT count_if(a.s IS NOT NULL AND b.s IS NOT NULL) AS common, count_if(b.s IS NULL) AS only_a, count_if(a.s IS NULL) AS only_b,
+SELECT CAST(count_if(a.s IS NOT NULL AND b.s IS NOT NULL) AS BIGINT) AS common, CAST(count_if(b.s IS NULL) AS BIGINT) AS only_a, CAST(count_if(a.s IS NULL) AS BIGINT) AS only_b,
        round(avg(a.s) FILTER (WHERE b.s IS NOT NULL), 6) AS mean_a, round(avg(b.s) FILTER (WHERE a.s IS NOT NULL), 6) AS mean_b,
-       count_if(a.s < b.s) AS a_better, count_if(b.s < a.s) AS b_better
+       CAST(count_if(a.s < b.s) AS BIGINT) AS a_better, CAST(count_if(b.s < a.s) AS BIGINT) AS b_better
 FROM a FULL JOIN b USING (doc_id)""")
 def compare_scores(spark, sf):
     """JOI-11."""
@@ -198,7 +198,7 @@ def classify_source(spark, sf):
 
 
 @query("""
-SELECT source, count(*) AS total, count_if(n_chars >= 1000) AS ok, count_if(n_chars < 1000) AS bad, round(count_if(n_chars < 1000) / count(*), 4) AS bad_rate
+SELECT source, count(*) AS total, CAST(count_if(n_chars >= 1000) AS BIGINT) AS ok, CAST(count_if(n_chars < 1000) AS BIGINT) AS bad, round(count_if(n_chars < 1000) / count(*), 4) AS bad_rate
 FROM documents GROUP BY ROLLUP (source)""")
 def validator_rollup(spark, sf):
     """AGG-17, AGG-18."""
@@ -206,7 +206,7 @@ def validator_rollup(spark, sf):
 
 
 @query("""
-SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events) WHERE rank <= 5""")
+SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INT) AS rank FROM events) WHERE rank <= 5""")
 def bounded_examples(spark, sf):
     """AGG-20: a top-k report."""
     return audit.examples(table(spark, sf, "events").select("event_type", "event_id", "value"), "event_type", "event_id", 5)
@@ -343,7 +343,7 @@ def quorum_prefix(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT user_id, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS ms FROM events)
+WITH m AS (SELECT user_id, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS ms FROM events)
 SELECT user_id, CAST(greatest(0, (ms + 959) // 960 - 1) AS INT) AS "window", count(*) AS n FROM m GROUP BY ALL""")
 def tumbling_960ms(spark, sf):
     """WIN-02, on whole milliseconds."""
@@ -356,7 +356,7 @@ def _since_first(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT user_id, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS ms FROM events),
+WITH m AS (SELECT user_id, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS ms FROM events),
 w AS (SELECT user_id, greatest(0, (ms + 3599999) // 3600000 - 1) AS w, count(*) AS n FROM m GROUP BY ALL),
 d AS (SELECT user_id, unnest(range(0, max(w) + 1)) AS w FROM w GROUP BY user_id)
 SELECT user_id, CAST(d.w AS INT) AS "window", coalesce(n, 0) AS n FROM d LEFT JOIN w USING (user_id, w)""")
@@ -467,7 +467,7 @@ def greedy_match(spark, sf):
 
 @query("""
 WITH t AS (SELECT conv_id, turn, len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '')) AS n FROM conversations)
-SELECT conv_id, sum(n) AS n_words, string_agg(e::VARCHAR, ',' ORDER BY turn) AS ends FROM (SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM t) GROUP BY conv_id""")
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS n_words, string_agg(e::VARCHAR, ',' ORDER BY turn) AS ends FROM (SELECT conv_id, turn, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM t) GROUP BY conv_id""")
 def concat_sentences(spark, sf):
     """AGG-09, AGG-10."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.word_tokens(F.col("text")).alias("en"), F.lit(True).alias("ok"))
