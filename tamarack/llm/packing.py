@@ -178,11 +178,10 @@ def sum_of_squares(lengths, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nd
         have, after = n[s:capacity], n[: capacity - s]
         best, at = far, 0
         if len(have):
-            change = np.where(have > 0, after - have + 1, far)
-            if s <= capacity:
-                change[0] = -have[0] if have[0] else far  # gap s: the bin is full, and leaves
+            change = np.where(have > 0, 2 * (after - have) + 2, far)
+            change[0] = 1 - 2 * have[0] if have[0] else far  # gap s: the bin is full, and leaves
             at = int(change.argmin())
-            best = 2 * int(change[at]) + (1 if at == 0 and best else 0) if change[at] < far else far
+            best = int(change[at])
         fresh = 2 * int(n[capacity - s]) + 1 if s < capacity else 0
         if best < far and best <= fresh:
             gap = at + s
