@@ -86,18 +86,22 @@ def list_literal(c: Column) -> Column:
     return F.when(empty, F.array().cast("array<string>")).otherwise(F.coalesce(fast, slow))
 
 
-@F.pandas_udf("array<string>")
-def _literal(cells: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        try:
-            v = ast.literal_eval(x.strip())
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return [x.strip()]
-        return ["" if e is None else str(e) for e in v] if isinstance(v, (list, tuple)) else [str(v)]
-
-    return cells.map(one, na_action=None)
+def _literal_list(x: str | None) -> list[str] | None:
+    if x is None:
+        return None
+    try:
+        v = ast.literal_eval(x.strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return [x.strip()]
+    return ["" if e is None else str(e) for e in v] if isinstance(v, (list, tuple)) else [str(v)]
+
+
+def _literal(c: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def parse(cells: pd.Series) -> pd.Series:
+        return pd.Series([_literal_list(x) for x in cells], dtype=object)
+
+    return parse(c)
 
 
 def token_id(c: Column) -> Column:

@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Client = Callable[[list[str]], list[str]]
 
 
 def call_model(df: DataFrame, prompt: str, client: Callable[[], Client], batch: int = 64, out: str = "answer") -> DataFrame:
     """``df`` with the answer and error of each prompt; a null prompt isn't sent and answers null."""
-    schema = df.schema.add(out, "string").add("error", "string")
+    schema = StructType(list(df.schema.fields)).add(out, "string").add("error", "string")
 
     def ask(c: Client, prompts: list[str]) -> list[tuple[str | None, str | None]]:
         try:

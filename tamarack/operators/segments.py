@@ -39,17 +39,15 @@ def merge_one_word(en: Column, zh: Column, forward: bool = False) -> Column:
     The first chunk stays; with ``forward`` a one-word first chunk takes the second in instead. Source parts join with
     a space, target parts without. Arrays of different lengths give nulls in ``forward`` form and stay as they are else.
     """
-    pair = F.arrays_zip(en.alias("e"), zh.alias("z"))
     pairs = F.zip_with(en, zh, lambda e, z: F.struct(T.blank(e).alias("e"), T.blank(z).alias("z"), (T.one_word(e) if forward else T.one_word_stripped(e)).alias("w")))
     init = F.array().cast("array<struct<e:string,z:string,w:boolean>>")
-    del pair
 
     def glue(a: Column, b: Column) -> Column:
         e = F.concat_ws(" ", a["e"], b["e"])
         return F.struct((T.collapse(e) if forward else e).alias("e"), F.concat(a["z"], b["z"]).alias("z"), F.lit(False).alias("w"))
 
     def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         first = (F.size(out) == 1) & last["w"] if forward else F.lit(False)
         return F.when(F.size(out) == 0, F.array(p)).when(p["w"] | first, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(glue(last, p)))).otherwise(F.concat(out, F.array(p)))
 
@@ -89,7 +87,7 @@ def concat_sentences(df: DataFrame, key: str, order: str, segs: list[str], ok: s
     end = F.sum(n).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     rows = df.withColumn("__e", end).withColumn("__s", F.col("__e") - n)
     got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "__s", "__e", *segs))).alias("r"), F.bool_and(ok).alias("ok"))
-    flat = [F.when(F.col("ok"), F.flatten(F.transform("r", lambda r, s=s: r[s]))).alias(s) for s in segs]
+    flat = [F.when(F.col("ok"), F.flatten(F.col(f"r.{s}"))).alias(s) for s in segs]
     spans = F.when(F.col("ok"), F.transform("r", lambda r: F.struct(r["__s"].cast("int").alias("s"), r["__e"].cast("int").alias("e")))).alias("spans")
     return got.select(key, *flat, spans, F.when(~F.col("ok"), "sentence_failed").alias("error"))
 

@@ -52,7 +52,7 @@ def monotone_alignment(pairs: Column, n_source: Column, n_target: Column) -> Col
     anchored = F.array_sort(F.transform(F.concat(pairs, F.array(F.struct((n_source - 1).cast("int").alias("s"), (n_target - 1).cast("int").alias("t")))), lambda p: F.struct(p["t"].alias("t"), p["s"].alias("s"))))
 
     def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         top = F.greatest(p["s"], F.coalesce(last["s"], p["s"]))
         now = F.struct(top.alias("s"), p["t"].alias("t"))
         return F.when((F.size(out) > 0) & (last["t"] == p["t"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(now))).otherwise(F.concat(out, F.array(now)))
