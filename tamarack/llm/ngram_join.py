@@ -1,18 +1,21 @@
 """Similarity join of documents on word n-grams by a token-group matrix.
 
 Documents with equal shingle sets form a class. A class's *tokens* are contents of hash buckets of its shingle set: two
-sets within the similarity bound differ in at most ``d`` shingles, which spoil at most ``d`` buckets, so their ``d + 1``
-most selective bucket contents must have one in common. Sorted by token these rows are the matrix:
+sets within the similarity bound differ in at most ``d`` shingles, which spoil at most ``d`` buckets, so their ``d + l``
+most selective bucket contents must have ``l`` in common. Sorted by token these rows are the matrix:
 
-1. In each token's row the first class is a leader, and the others are tested against it: verified stars, closed to
+1. Classes with too few tokens that any other class has can't be linked; the others are candidates. For each, the
+   candidates' shingles give its coverage: how many of its shingles the union of all others holds.
+2. In each token's row the first class is a leader, and the others are tested against it: verified stars, closed to
    components, partition similar documents into groups.
-2. Each group's union in the row (of its members' tokens, and of its members' sketch bits) bounds the similarity of
-   every query class to any member; only groups whose bound qualifies are opened, and only for classes outside them.
-3. What opening leaves is verified on the whole texts.
-
-So a group of thousands of near copies costs its number of rows, not its pairs. Two chances of missing a link are kept
-under 1e-9 a pair: a sketch of 128 one-bit min-hashes that falls far below its mean (BOUND), and, for sets of 512
-shingles or more, a sample of tokens by their hash that holds none of the thirty or more they share on average (KEPT).
+3. Each group's union in the row (its members' largest coverage, sizes, and sketch bits) bounds the similarity of every
+   query class to any member; only groups whose bound qualifies are opened, and only for classes outside them.
+4. What opening leaves is verified on the whole texts.
+
+So a group of thousands of near copies costs its number of rows, not its pairs, and copies that are each too far from
+the others fall to their coverage. Two chances of missing a link are kept under 1e-9 a pair: a sketch of 128 one-bit
+min-hashes that falls far below its mean (BOUND), and, for sets of 400 shingles or more, a sample of tokens by their
+hash that holds fewer than FEW of the thirty or more they share on average (KEPT).
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SKETCH = 128
 BOUND = 90
 #: Sets of sizes from 2^k have their tokens sampled so that about this many of the set's size remain.
 KEPT = 256
+#: Tokens that linked sets of 400 shingles or more share at least.
+FEW = 4
 _U = np.uint64
 _MULT = (mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)).reshape(1, -1)
 _ADD = mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0xD1B54A32D192ED03)).reshape(1, -1)
@@ -87,7 +92,7 @@ def tokens(s: np.ndarray) -> np.ndarray:
             value = np.zeros(m, _U)
             value[full] = np.add.reduceat(mix(s + _U(999))[order], np.concatenate([[0], np.cumsum(count[full])[:-1]]))
             value = mix(value + mix(np.arange(m, dtype=_U) + _U(m << 20)))
-            value = value[np.lexsort((value, -count))[: d + 1]]
+            value = value[np.lexsort((value, -count))[: d + max(1, n // 40)]]
             if 1 << k > KEPT:
                 value = value[(mix(value + _U(5)) >> _U(44)) < _U((KEPT << 20) >> k)]
             out.append(value)
@@ -122,26 +127,65 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _matrix(docs: DataFrame, seed: int) -> DataFrame:
-    """(token, cls, n, s1, s2): a row for each token of each class, about once a class."""
+    """(token, cls, n): a row for each token of each class, about once a class."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             buf, off, _ = utf8(b.column(0))
             for i, j in slices(off):
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                t, c, n = [], [], []
                 for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed):
-                    if not len(s) or (c := set_hash(s)[0]) in seen:
+                    if not len(s) or (k := set_hash(s)[0]) in seen:
                         continue
                     if len(seen) < 1_000_000:  # copies in one task are written once; others are equal rows
-                        seen.add(c)
-                    t, sk = tokens(s).view(np.int64), sketch(s).view(np.int64)
-                    for col, v in zip(cols, (t, np.full(len(t), c), np.full(len(t), len(s)), np.full(len(t), sk[0]), np.full(len(t), sk[1])), strict=True):
-                        col.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], names=["token", "cls", "n", "s1", "s2"])
+                        seen.add(k)
+                    v = tokens(s).view(np.int64)
+                    t.append(v)
+                    c.append(np.full(len(v), k))
+                    n.append(np.full(len(v), len(s)))
+                if t:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (t, c, n)], names=["token", "cls", "n"])
+
+    return docs.select("text").mapInArrow(run, "token long, cls long, n long")
+
+
+def _profiles(texts: DataFrame, seed: int) -> DataFrame:
+    """(cls, n, cover, s1, s2) of each candidate: its size, how many of its shingles another candidate has, and its sketch."""
+
+    def sets_of(b):
+        buf, off, _ = utf8(b.column(1))
+        for i, j in slices(off):
+            for c, s in zip(np.asarray(b.column(0))[i:j], shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed), strict=True):
+                if set_hash(s)[0] == c:  # an id that several texts have brings them all
+                    yield c, s
+
+    def explode(batches):
+        for b in batches:
+            part: list = []
+            for c, s in sets_of(b):
+                part.append((s.view(np.int64), np.full(len(s), c)))
+                if len(part) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*part, strict=True)], names=["t", "cls"])
+                    part = []
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*part, strict=True)], names=["t", "cls"])
+
+    def count(batches):
+        for t, c in _runs(batches, 2):
+            at, size = _starts(t)
+            many = np.repeat((np.maximum.reduceat(c, at) != np.minimum.reduceat(c, at)), size)
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
+            k, n = np.unique(c[many & new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["cls", "k"])
+
+    def sketches(batches):
+        for b in batches:
+            rows = [(c, len(s), *sketch(s).view(np.int64)) for c, s in sets_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["cls", "n", "s1", "s2"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n long, s1 long, s2 long")
+    cover = texts.mapInArrow(explode, "t long, cls long").repartition("t").sortWithinPartitions("t", "cls").mapInArrow(count, "cls long, k long").groupBy("cls").agg(F.sum("k").alias("cover"))
+    return texts.mapInArrow(sketches, "cls long, n long, s1 long, s2 long").distinct().join(cover, "cls").select("cls", "n", "cover", "s1", "s2")
 
 
 def _agreeing(a1, a2, b1, b2) -> np.ndarray:
@@ -174,31 +218,47 @@ def _starts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate([at, [len(t)]]))
 
 
+def _covered(total, cover) -> np.ndarray:
+    """Whether an overlap of ``cover`` can link sets of ``total`` shingles together."""
+    return (LEAST + OF) * cover >= LEAST * total
+
+
 def _shared_rows(matrix: DataFrame) -> DataFrame:
-    """The matrix rows of tokens that two classes or more have, with the token's leader and whether the two may be linked."""
+    """The matrix rows of tokens that two classes or more have."""
 
     def run(batches):
-        for t, c, n, s1, s2 in _runs(batches, 5):
+        for t, c, n in _runs(batches, 3):
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # a class of several tasks
-            t, c, n, s1, s2 = (x[new] for x in (t, c, n, s1, s2))
+            t, c, n = t[new], c[new], n[new]
+            many = np.repeat(*(lambda size: (size > 1, size))(_starts(t)[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (t, c, n)], names=["token", "cls", "n"])
+
+    return matrix.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, "token long, cls long, n long")
+
+
+def _led_pairs(rows: DataFrame) -> DataFrame:
+    """(u, v): classes and the leaders they may be linked to, from (token, cls, n, cover, s1, s2)."""
+
+    def run(batches):
+        for t, c, n, cover, s1, s2 in _runs(batches, 6):
             at, size = _starts(t)
             lead = np.repeat(at, size)
-            many = np.repeat(size > 1, size)
-            may = _sized(n, n[lead]) & (_agreeing(s1.view(_U), s2.view(_U), s1[lead].view(_U), s2[lead].view(_U)) >= BOUND) & (c != c[lead])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[many]) for x in (t, c, n, s1, s2, c[lead])), pa.array(may[many])], names=["token", "cls", "n", "s1", "s2", "lead", "may"])
+            s1, s2 = s1.view(_U), s2.view(_U)
+            may = (c != c[lead]) & _sized(n, n[lead]) & _covered(n + n[lead], np.minimum(cover, cover[lead])) & (_agreeing(s1, s2, s1[lead], s2[lead]) >= BOUND)
+            pair = np.unique(np.stack([np.minimum(c, c[lead])[may], np.maximum(c, c[lead])[may]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["u", "v"])
 
-    sorted_rows = matrix.repartition("token").sortWithinPartitions("token", "cls")
-    return sorted_rows.mapInArrow(run, "token long, cls long, n long, s1 long, s2 long, lead long, may boolean")
+    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, "u long, v long").distinct()
 
 
-def _open_groups(t, g, c, n, s1, s2):
+def _open_groups(t, g, c, n, cover, s1, s2):
     """Pairs of classes of different groups that one token's row leaves: each class against the groups' bounds, then the members of those that qualify."""
     s1, s2 = s1.view(_U), s2.view(_U)
     at, size = _starts(g)
     if len(at) < 2:
         return
     any1, any2, all1, all2 = np.bitwise_or.reduceat(s1, at), np.bitwise_or.reduceat(s2, at), np.bitwise_and.reduceat(s1, at), np.bitwise_and.reduceat(s2, at)
-    small, large = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)
+    small, large, most = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(cover, at)
     group = np.repeat(np.arange(len(at)), size)
     for k in range(0, len(c), 512):
         q = slice(k, k + 512)
@@ -207,20 +267,21 @@ def _open_groups(t, g, c, n, s1, s2):
         off2 = (s2[q, None] & ~any2) | (~s2[q, None] & all2)
         ok = SKETCH - np.bitwise_count(off1).astype(np.int16) - np.bitwise_count(off2) >= BOUND
         ok &= (OF * large >= LEAST * n[q, None]) & (OF * n[q, None] >= LEAST * small)
+        ok &= _covered(n[q, None] + small, np.minimum(cover[q, None], most))
         mine = group[q, None]
         ok &= (size > size[mine]) | ((size == size[mine]) & (np.arange(len(at)) > mine))
         for i, j in zip(*np.nonzero(ok), strict=True):
             x, m = k + i, slice(at[j], at[j] + size[j])
-            hit = _sized(n[x], n[m]) & (_agreeing(s1[x], s2[x], s1[m], s2[m]) >= BOUND)
+            hit = _sized(n[x], n[m]) & _covered(n[x] + n[m], np.minimum(cover[x], cover[m])) & (_agreeing(s1[x], s2[x], s1[m], s2[m]) >= BOUND)
             for y in np.flatnonzero(hit):
                 yield c[x], c[at[j] + y]
 
 
 def _opened_pairs(grouped: DataFrame) -> DataFrame:
-    """(u, v): pairs across groups that opening leaves, from (token, grp, cls, n, s1, s2)."""
+    """(u, v): pairs across groups that opening leaves, from (token, grp, cls, n, cover, s1, s2)."""
 
     def run(batches):
-        for cols in _runs(batches, 6):
+        for cols in _runs(batches, 7):
             found = set()
             t, g = cols[:2]
             at, size = _starts(t)
@@ -235,10 +296,8 @@ def _opened_pairs(grouped: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """The pairs (u, v) that are linked, found on the whole texts of one document of each class."""
-    need = staged(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
-    texts = staged(rows_with_ids(docs.select("doc_id", "text"), need.select("doc_id").distinct(), "doc_id").join(need, "doc_id").select("cls", "text"), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """The pairs (u, v) that are linked, found on the whole texts."""
     both = pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches):
@@ -284,12 +343,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         raise RuntimeError("set hashes collide under each seed")
     shared = staged(_shared_rows(_matrix(docs, seed)), "matrix")
-    stars = _verified(shared.filter("may").select(F.least("cls", "lead").alias("u"), F.greatest("cls", "lead").alias("v")).distinct(), docs, classes, seed)
-    groups = staged(connected_components(stars), "groups")
-    rows = shared.select("token", "cls", "n", "s1", "s2").join(groups.select(F.col("node").alias("cls"), F.col("component").alias("g")), "cls", "left")
-    grouped = rows.select("token", F.coalesce("g", "cls").alias("grp"), "cls", "n", "s1", "s2")
-    links = _verified(staged(_opened_pairs(grouped), "opened"), docs, classes, seed)
+    enough = F.col("count") >= F.when(F.col("n") >= 400, F.lit(FEW)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n") / 50)))
+    wanted = staged(shared.groupBy("cls", "n").count().filter(enough).select("cls").join(classes.select("cls", "doc_id"), "cls"), "candidates")
+    texts = staged(rows_with_ids(docs, wanted.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id").select("cls", "text"), "texts")
+    profiles = staged(_profiles(texts, seed), "profiles").filter((LEAST + OF) * F.col("cover") >= LEAST * (F.col("n") + F.ceil(F.col("n") * LEAST / OF)))
+    rows = staged(shared.select("token", "cls").join(profiles, "cls").select("token", "cls", "n", "cover", "s1", "s2"), "rows")
     drop_staged(shared)
+    stars = _verified(staged(_led_pairs(rows), "led"), texts, seed)
+    groups = staged(connected_components(stars), "groups")
+    grouped = rows.join(groups.select(F.col("node").alias("cls"), F.col("component").alias("g")), "cls", "left").select("token", F.coalesce("g", "cls").alias("grp"), "cls", "n", "cover", "s1", "s2")
+    links = _verified(staged(_opened_pairs(grouped), "opened"), texts, seed)
     edges = stars.unionByName(links)
     parts = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
     degree = edges.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
