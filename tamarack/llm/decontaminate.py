@@ -30,7 +30,7 @@ def normalise(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
     keep = ~blank
     keep[:-1] |= ~blank[1:]  # of a run of blanks the last stays
-    starts, ends = off[:-1][off[:-1] < off[1:]], off[1:][off[:-1] < off[1:]] - 1
+    ends = off[1:][off[:-1] < off[1:]] - 1
     keep[ends] &= ~blank[ends]
     out = np.where(blank, np.uint8(32), fold(buf))
     at = np.concatenate([[0], np.cumsum(keep)])
@@ -41,7 +41,6 @@ def normalise(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         drop[new[lead]] = True
         shift = np.concatenate([[0], np.cumsum(drop)])
         out, new = out[~drop], new - shift[new]
-    del starts
     return out, new
 
 
@@ -91,21 +90,23 @@ class Index:
         self.least = min((max(1, int(-(-b // -(-int(s + e) // self.stretch)))) for b, s, e in zip(self.bound, size, self.edits, strict=True)), default=1)
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
-    """Least edits between ``item`` and any part of ``text`` along diagonals low..high."""
-    n, far = len(text), 1 << 20
-    d = np.arange(low, high + 1)
-    row = np.where((d >= 0) & (d <= n), 0, far)
-    step = np.arange(len(d))
-    for i, c in enumerate(item):
-        j = i + d
-        ok = (j >= 0) & (j < n)
-        cost = np.where(ok, text[np.clip(j, 0, n - 1)] != c, far) if n else np.full(len(d), far)
-        new = row + cost
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where((j + 1 >= 0) & (j + 1 <= n), new, far)
+def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:
+    """Least edits between ``item`` and any part of ``text`` along diagonals low..high, or ``most`` + 1 if they are more.
+
+    Outside the text stand marks that equal no byte: matching one costs an edit, as leaving the item's byte out does.
+    """
+    before, after = max(0, -low), max(0, len(item) + high + 1 - len(text))
+    wide = np.concatenate([np.full(before, 256, np.int16), text.astype(np.int16), np.full(after, 256, np.int16)])
+    width = high - low + 1
+    step = np.arange(width)
+    row = np.zeros(width, np.int64)
+    at = low + before
+    for i, c in enumerate(item.tolist()):
+        new = row + (wide[at + i : at + i + width] != c)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - step) + step
-        row = np.where((j + 1 >= 0) & (j + 1 <= n), row, far)
+        if row.min() > most:
+            return most + 1
     return int(row.min())
 
 
@@ -113,7 +114,7 @@ def _occurs(index: Index, k: int, text: np.ndarray, low: int, high: int) -> bool
     item, e = index.text[k], int(index.edits[k])
     a, b = max(0, low - e), min(len(text), high + len(item) + e)
     part = text[a:b]
-    return item.tobytes() in part.tobytes() or banded_distance(item, part, low - e - a, high + e - a) <= e
+    return item.tobytes() in part.tobytes() or banded_distance(item, part, low - e - a, high + e - a, e) <= e
 
 
 def find_items(index: Index, buf: np.ndarray, off: np.ndarray) -> list[list[int]]:
@@ -148,11 +149,13 @@ def find_items(index: Index, buf: np.ndarray, off: np.ndarray) -> list[list[int]
         key = key[:, order]
         new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
         count = np.diff(np.concatenate([new, [key.shape[1]]]))
-        for s, c in zip(new, count, strict=True):
+        full = count >= index.bound[key[1, new]]
+        for s, c in zip(new[full], count[full], strict=True):
             r, k = int(key[0, s]), int(key[1, s])
-            if c < index.bound[k] or k in out[r]:
+            hits = order[s : s + c]
+            if k in out[r] or min(len(np.unique(at[hits])), len(np.unique(index.place[entry[hits]]))) < index.bound[k]:
                 continue
-            ds = diagonal[order[s : s + c]]
+            ds = diagonal[hits]
             if _occurs(index, k, buf[off[r] : off[r + 1]], int(ds.min()), int(ds.max())):
                 out[r].append(k)
     return out
