@@ -103,7 +103,7 @@ def test_matrix_tokens_share():
                 shared = len(np.intersect1d(ngram_join.tokens(a), ngram_join.tokens(y)))
                 assert shared >= (ngram_join.FEW if n >= 400 else max(1, n // 50))
                 s, t = ngram_join.sketch(a), ngram_join.sketch(y)
-                assert ngram_join._agreeing(s[0], s[1], t[0], t[1]) >= ngram_join.BOUND
+                assert ngram_join._agreeing(s, t) >= ngram_join.BOUND
 
 
 def test_components(spark):
