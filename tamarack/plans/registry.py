@@ -611,8 +611,8 @@ def consensus_policy(spark, sf):
 
     def make():
         def dist(source, committed, pending):
-            at = len(committed) + len(pending)
-            return {ord(source[at].upper()): 1.0} if at < len(source) else {}
+            at, heard = len(committed) + len(pending), source.upper()
+            return {ord(heard[at]): 1.0} if at < len(heard) else {}
 
         return policies.Consensus(lambda o: ["a", "b", "c", "d"], dist, lambda ids: "".join(map(chr, ids)), _Echo.complete)
 
