@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 For each node of the DOM: characters per tag, adjusted for links; each node then sums its children's densities. The
-subtree with the largest sum holds the article, and the least density on its path up to the body is the threshold for
-taking in what stands around it.
+subtree with the largest sum holds the article. It is raised to the article or main around it; on a page that has none
+there, the whole body is taken but for link lists around the subtree: mostly link text, and less dense than anything on
+the subtree's path up to the body.
 """
 
 from __future__ import annotations
@@ -176,27 +177,40 @@ def _measure(nodes: list[Node], runs: list[tuple[int, str]]) -> int:
     return body
 
 
-def _article(nodes: list[Node], body: int) -> int:
-    """The node whose children's densities sum to most, raised on its path to the body while the threshold holds."""
+def _article(nodes: list[Node], body: int) -> tuple[int, set[int]]:
+    """The article's node, and the nodes under it that are left out with all they hold.
+
+    The node whose children's densities sum to most is raised to the article or main around it, or else to the whole
+    page. Of what then stands around it only link lists are left out: nodes under the threshold with mostly link text,
+    without the parts of them that are neither.
+    """
     best = body
     for k, n in enumerate(nodes):
         if k >= body and not n.boiler and n.total > nodes[best].total:
             best = k
     path = [best]
-    while path[-1] != body and nodes[path[-1]].parent > 0:
+    while nodes[path[-1]].parent >= 0:
         path.append(nodes[path[-1]].parent)
     for k in path:
         if nodes[k].tag in ("article", "main"):
-            return k
-    threshold = min(nodes[k].density for k in path)
-    for k in path[1:]:  # an ancestor that adds a heading or a little more, and is as dense as the path asks, is the article
+            return k, set()
+    threshold = min(nodes[k].density for k in (path[: path.index(body) + 1] if body in path else path))
+    out: set[int] = set()
+    for k, below in zip(path[1:], path, strict=False):
         n = nodes[k]
-        if k == body or n.density < threshold or n.chars > 1.25 * nodes[best].chars:
-            break
-        best = k
-    if nodes[best].total == 0 and not nodes[best].children:
-        return body if nodes[best].chars == 0 else best
-    return best
+        sides = [c for c in n.children if c != below and not nodes[c].boiler]
+        blocks, inline = ([c for c in sides if (nodes[c].tag in INLINE) == x] for x in (False, True))
+        own = n.chars - sum(nodes[c].chars for c in [*blocks, below] if not nodes[c].boiler)
+        if 2 * sum(nodes[c].link_chars for c in inline) > own:  # else they are links within sentences
+            blocks += inline
+        todo = [(c, False) for c in blocks]
+        while todo:
+            c, linked = todo.pop()
+            n = nodes[c]
+            if linked or (n.density < threshold and 2 * n.link_chars > n.chars):
+                out.add(c)
+                todo += [(x, linked or n.link_chars == n.chars) for x in n.children]
+    return path[-1], out
 
 
 def main_text(page: str | None) -> str:
@@ -205,14 +219,14 @@ def main_text(page: str | None) -> str:
         return ""
     nodes, runs = parse(page)
     body = _measure(nodes, runs)
-    top = _article(nodes, body)
+    top, left_out = _article(nodes, body)
     inside = [False] * len(nodes)
     block = [0] * len(nodes)
     inside[top] = not nodes[top].boiler
     block[top] = top
     for k in range(top + 1, len(nodes)):
         n = nodes[k]
-        inside[k] = inside[n.parent] and not n.boiler
+        inside[k] = (inside[n.parent] or n.parent in left_out) and not n.boiler and k not in left_out
         block[k] = block[n.parent] if n.tag in INLINE else k
     blocks: list[list[str]] = []
     last = None

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -267,6 +267,19 @@ def test_html():
     assert htmltext.main_text(deep) == "deep text"
 
 
+def test_html_sibling_sections():
+    """Without article or main all sections of the body are the article; a list of links beside them isn't."""
+    for count, k, link, wrap in product((2, 3, 4, 6), (1, 2, 3, 5), ("", "<p><a href='x'>on</a></p>"), ("body", "div")):
+        parts = [[f"s{s}p{i} " + "word " * (60 if i else 20) + "." for i in range(k if s else 5)] for s in range(count)]
+        page = "".join("<section>" + "".join(f"<p>{t}</p>" for t in p) + link + "</section>" for p in parts)
+        links = "<div><ul>" + "".join(f"<li><a href='{i}'><span><b>away {i}</b></span></a></li>" for i in range(9)) + "</ul></div>"
+        top = f"<body>{links}<{wrap}><h1>Head</h1>See <a href='y'>this</a> first.{page}</{wrap}>"
+        got = htmltext.main_text(top)
+        want = ["Head", "See this first."] + [t for p in parts for t in [*p, *(["on"] if link else [])]]
+        assert got == "\n\n".join(want), (count, k, link, wrap)
+    assert htmltext.main_text("<section><p>a b<p>c d<p>e f</section><section><p>g h</section>") == "a b\n\nc d\n\ne f\n\ng h"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>x y</p>"), (2, None, "<p>x y</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_pages(df).collect()) == [(1, "", 0), (2, "x y", 3), (2, "x y", 3)]
