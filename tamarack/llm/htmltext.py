@@ -32,6 +32,8 @@ BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer sidebar aside widget comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip".split()
 )
+#: Words that say nothing of a node beside those: "comment-list" is named for comments alone, "no-comments" isn't.
+NEUTRAL_WORDS = frozenset("area bar block body box col column container group holder inner item items list outer row section wrap wrapper".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[a-z]+")
@@ -39,10 +41,10 @@ UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "boiler", "chars", "link_chars", "tags", "link_tags", "density", "total", "children")
+    __slots__ = ("tag", "parent", "boiler", "named", "chars", "link_chars", "tags", "link_tags", "density", "total", "children")
 
     def __init__(self, tag: str, parent: int, boiler: bool):
-        self.tag, self.parent, self.boiler = tag, parent, boiler
+        self.tag, self.parent, self.boiler, self.named = tag, parent, boiler, 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.children: list[int] = []
@@ -59,12 +61,78 @@ def _is_boiler(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value in BOILER_ROLES:
             return True
-        if name in ("class", "id") and not BOILER_WORDS.isdisjoint(WORD.findall(value)):
-            if tag != "header" or not inside_article:
-                return True
     return False
 
 
+def _named(tag: str, attrs: str) -> int:
+    """2 for a class or id that names boilerplate alone, 1 for one that has other words too, else 0."""
+    if not attrs or not attrs.strip() or tag in ("html", "body", "article", "main", "header"):
+        return 0
+    found = 0
+    for name, value in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id") and not BOILER_WORDS.isdisjoint(words := WORD.findall(value.lower())):
+            found = max(found, 2 if all(w in BOILER_WORDS or w in NEUTRAL_WORDS for w in words) else 1)
+    return found
+
+
+def _settle_names(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
+    """Make boilerplate of what class or id name so, but for names on what wraps the article.
+
+    These are nodes with most of the page's text outside links (for a name of boilerplate alone: nearly all of it), and,
+    while no article or main stands outside such nodes, the likeliest one that holds main or a single article (for a name
+    of boilerplate alone: an article with most of the text; lists of comments and teasers have an article each). Names
+    inside them are settled in the same way.
+    """
+    if not any(n.named and not n.boiler for n in nodes):
+        return
+    text, holds, articles = ([0] * len(nodes) for _ in range(3))
+    linked = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        linked[k] = n.tag == "a" or (k > 0 and linked[n.parent])
+    for k, run in runs:
+        if not nodes[k].boiler and not linked[k]:
+            text[k] += len("".join(run.split()))
+    inner: list[list[int]] = [[] for _ in nodes]  # the outermost named nodes below each
+    for k in range(len(nodes) - 1, 0, -1):
+        n = nodes[k]
+        if n.boiler:
+            continue
+        if n.tag in ("article", "main") and text[k]:
+            holds[k], articles[k] = max(holds[k], 2 if n.tag == "main" else 1), 1
+        text[n.parent] += text[k]
+        holds[n.parent] = max(holds[n.parent], holds[k])
+        articles[n.parent] += articles[k]
+        inner[n.parent] += [k] if n.named else inner[k]
+    waits: list[int] = []
+
+    def wraps(k: int) -> bool:
+        return holds[k] == 2 or (articles[k] == 1 and (nodes[k].named == 1 or 2 * text[k] > text[0]))
+
+    def look(named: list[int]) -> None:
+        todo = list(named)
+        while todo:
+            k = todo.pop()
+            if (20 * text[k] > 19 * text[0]) if nodes[k].named == 2 else (2 * text[k] > text[0]):
+                nodes[k].named = 0
+                todo += inner[k]
+            else:
+                waits.append(k)
+
+    look(inner[0])
+    while any(map(wraps, waits)):
+        free = [k == 0 or not n.named for k, n in enumerate(nodes)]
+        for k in range(1, len(nodes)):
+            free[k] = free[k] and free[nodes[k].parent]
+        if any(n.tag in ("article", "main") and text[k] and free[k] and not n.boiler for k, n in enumerate(nodes)):
+            break
+        k = max(filter(wraps, waits), key=lambda k: (-nodes[k].named, holds[k], text[k], -k))
+        nodes[k].named = 0
+        waits.remove(k)
+        look(inner[k])
+    for k, n in enumerate(nodes[1:], 1):
+        n.boiler = n.boiler or n.named > 0 or nodes[n.parent].boiler
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order (a parent before its children, the root first) and (node, text) runs.
 
@@ -127,6 +195,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             boiler = nodes[up].boiler or _is_boiler(tag, attrs, article > 0)
             nodes.append(Node(tag, up, boiler))
             k = len(nodes) - 1
+            nodes[k].named = 0 if boiler else _named(tag, attrs)
             nodes[up].children.append(k)
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(k)
@@ -142,6 +211,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if t in ("table", "article", "main", "body") and tag in INLINE:
                     break
+    _settle_names(nodes, runs)
     return nodes, runs
 
 

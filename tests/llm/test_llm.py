@@ -280,6 +280,23 @@ def test_html_sibling_sections():
     assert htmltext.main_text("<section><p>a b<p>c d<p>e f</section><section><p>g h</section>") == "a b\n\nc d\n\ne f\n\ng h"
 
 
+def test_html_names_on_wrappers():
+    """A class or id with a word of boilerplate doesn't take the article with it; the boilerplate itself goes."""
+    post = "".join(f"<p>post {i} " + "word " * 30 + ".</p>" for i in range(4))
+    want = "\n\n".join(f"post {i} " + "word " * 30 + "." for i in range(4))
+    side = "<div class='sidebar'><p>aside " + "other " * 20 + "</p></div><div id='comments'><article><p>Nice one!</p></article></div>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "page-with-header", "widget-area main", "sidebar-wrapper"):
+        for tag in ("main", "article"):
+            for body in (f"<{tag}>{post}</{tag}>{side}", f"{side}<div class='no-comments'><{tag}>{post}</{tag}></div>"):
+                assert htmltext.main_text(f"<body><div class='{name}'>{body}</div><div class='ad'>Buy!</div></body>") == want, (name, body)
+        assert htmltext.main_text(f"<body><div id='{name}'>{post}</div><div class='ad'>Buy!</div></body>") == want, name
+        assert htmltext.main_text(f"<body><article><h1>Head</h1><div class='{name}'>{post}</div></article></body>") == "Head\n\n" + want, name
+    long = "<div class='comments-area'><ol class='comment-list'>" + "<li><article><p>I say so too.</p></article></li>" * 60 + "</ol></div>"
+    for tag in ("article", "main", "div"):
+        assert htmltext.main_text(f"<body><{tag}>{post}</{tag}>{long}</body>") == want
+        assert htmltext.main_text(f"<body><div class='has-comments'><{tag}>{post}</{tag}{'>' + long}</div></body>") == want
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>x y</p>"), (2, None, "<p>x y</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_pages(df).collect()) == [(1, "", 0), (2, "x y", 3), (2, "x y", 3)]
