@@ -87,6 +87,7 @@ class Index:
         self.table[_slot(self.gram)] = True
         # Some stretch of this length has at least this many shared q-grams wherever an item occurs within its budget.
         self.stretch = int((size + self.edits).min()) if len(size) else 0
+        self.reach = int((size + self.edits).max()) if len(size) else 0
         self.least = min((max(1, int(-(-b // -(-int(s + e) // self.stretch)))) for b, s, e in zip(self.bound, size, self.edits, strict=True)), default=1)
 
 
@@ -131,7 +132,8 @@ def find_items(index: Index, buf: np.ndarray, off: np.ndarray) -> list[list[int]
     ahead = total[np.minimum(np.arange(len(g)) + index.stretch, len(g))] - total[:-1]
     dense = np.concatenate([[0], np.cumsum(ahead >= index.least)])
     pos = np.flatnonzero(hit)
-    pos = pos[(dense[pos + 1] - dense[np.maximum(0, pos + 1 - index.stretch)]) > 0]
+    # An occurrence has a dense stretch, but its other hits may lie thinly: all within the longest item's length count.
+    pos = pos[(dense[np.minimum(pos + index.reach, len(g))] - dense[np.maximum(0, pos + 1 - index.reach)]) > 0]
     if not len(pos):
         return out
     lo, hi = np.searchsorted(index.gram, g[pos], "left"), np.searchsorted(index.gram, g[pos], "right")

@@ -240,6 +240,21 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontaminate_counts_thin_hits(spark):
+    """An item within its budget is found where its edits are crowded, also beside a much shorter item."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(1, letters(44)), (2, letters(2000))]
+    out = list(items[1][1])
+    for block in range(50):  # nine clean bytes, then four edits eight apart, to the full budget of 200
+        for k in range(4):
+            out[34 * block + 9 + 8 * k] = "#"
+    assert out.count("#") == int(2000 * decontaminate.BUDGET)
+    rows = [(0, letters(300) + "".join(out) + letters(300)), (1, "".join(out)[::-1]), (2, letters(3000))]
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {0: [2], 1: [], 2: []}
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard_documents(docs).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS}
