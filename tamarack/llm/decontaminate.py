@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import fold, slices, utf8
+from tamarack.llm.common import _power, fold, slices, utf8
 
 Q = 8
 #: Edits allowed, as a share of an item's normalised bytes.
 BUDGET = 0.1
-#: Items with fewer normalised bytes are too short to tell a leak from ordinary language, and are not looked for.
+#: Items with fewer normalised bytes are too short for edits: they are looked for as they are, at word bounds, where asked for.
 SHORTEST = 40
 #: Normalised benchmark bytes that one pass over the documents carries; more items take more passes.
 PASS_BYTES = 8 << 20
@@ -62,12 +62,15 @@ def _slot(g: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a bounded set of benchmark items."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], short_items: bool = False):
         buf, off, _ = utf8(pa.array([t or "" for _, t in items], pa.large_string()))
         buf, off = normalise(buf, off)
         self.ids, self.text, grams, item, place = [], [], [], [], []
+        short: dict[bytes, list] = {}
         for (i, _), a, b in zip(items, off[:-1], off[1:], strict=True):
             if b - a < SHORTEST:
+                if short_items and b > a:
+                    short.setdefault(buf[a:b].tobytes(), []).append(i)
                 continue
             g = qgrams(buf[a:b])
             grams.append(g)
@@ -89,6 +92,38 @@ class Index:
         self.stretch = int((size + self.edits).min()) if len(size) else 0
         self.reach = int((size + self.edits).max()) if len(size) else 0
         self.least = min((max(1, int(-(-b // -(-int(s + e) // self.stretch)))) for b, s, e in zip(self.bound, size, self.edits, strict=True)), default=1)
+        self.short: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]] = {}
+        for n in sorted({len(t) for t in short}):
+            known: dict[bytes, list[int]] = {}
+            for t in (t for t in short if len(t) == n):
+                known[t] = list(range(len(self.ids), len(self.ids) + len(short[t])))
+                self.ids += short[t]
+            self.short[n] = np.unique(np.concatenate([_hashes(np.frombuffer(t, np.uint8), np.zeros(1, np.int64), n) for t in known])), known
+
+
+def _hashes(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial hash of the ``n`` bytes from each of the given places."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, _U), np.cumsum((buf.astype(_U) + _U(1)) * _power("p", len(buf)), dtype=_U)])
+        return (total[at + n] - total[at]) * _power("q", len(buf))[at]
+
+
+def find_short(index: Index, buf: np.ndarray, off: np.ndarray, out: list[list[int]]) -> None:
+    """Add to ``out`` the numbers of the short items that stand in each normalised text with no word going on at either end."""
+    if not index.short or not len(buf):
+        return
+    word = (buf >= 128) | (buf == 95) | ((buf >= 48) & (buf <= 57)) | ((buf >= 97) & (buf <= 122))
+    joined = np.zeros(len(buf) + 1, bool)  # whether a word goes on over the bound before a byte
+    joined[1:-1] = word[1:] & word[:-1]
+    joined[off] = False
+    start = np.flatnonzero(~joined[:-1])
+    row = np.searchsorted(off, start, side="right") - 1
+    for n, (hashes, known) in index.short.items():
+        fits = np.flatnonzero(start + n <= off[row + 1])
+        fits = fits[~joined[start[fits] + n]]
+        for j in fits[np.isin(_hashes(buf, start[fits], n), hashes)]:
+            ks = known.get(buf[start[j] : start[j] + n].tobytes(), ())
+            out[row[j]] += [k for k in ks if k not in out[row[j]]]
 
 
 def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:
@@ -163,32 +198,36 @@ def find_items(index: Index, buf: np.ndarray, off: np.ndarray) -> list[list[int]
     return out
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> list[Index]:
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES, short_items: bool = False) -> list[Index]:
     """The benchmark in parts of about ``pass_bytes``; each is collected by itself."""
     rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // pass_bytes))
-    return [Index([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()]) for k in range(parts)]
+    return [Index([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()], short_items) for k in range(parts)]
 
 
 def _matches(index: Index, column) -> list[list[int]]:
     buf, off, _ = utf8(column)
     out: list[list[int]] = []
     for i, j in slices(off):
-        out += find_items(index, *normalise(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
+        texts = normalise(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        found = find_items(index, *texts)
+        find_short(index, *texts, found)
+        out += found
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids): the benchmark items that occur in each whole text with at most BUDGET edits a byte.
 
-    Null and empty texts hold none; items shorter than SHORTEST or null are not looked for; equal items are all named.
+    Null and empty texts hold none; blank or null items are not looked for, and items shorter than SHORTEST are
+    only with ``short_items``: exactly, and not within a word; equal items are all named.
     Repeated rows are judged alike. An empty benchmark marks nothing, and an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     item_type = benchmark.schema[item_col].dataType.simpleString()
     kind = src.schema["doc_id"].dataType.simpleString()
-    parts = indexes(benchmark, item_col, item_text_col)
+    parts = indexes(benchmark, item_col, item_text_col, short_items=short_items)
 
     def run(batches):
         for b in batches:
@@ -206,9 +245,9 @@ def _arrow(kind: str):
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item occurs; texts stay in their partitions."""
-    parts, at = indexes(benchmark, item_col, item_text_col), docs.columns.index(text_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item occurs (see :func:`contaminated`); texts stay in their partitions."""
+    parts, at = indexes(benchmark, item_col, item_text_col, short_items=short_items), docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -222,4 +261,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminated(docs, benchmark)
+    return contaminated(docs, benchmark, short_items=True)

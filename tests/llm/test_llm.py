@@ -10,6 +10,7 @@ from itertools import combinations, product
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tamarack.llm import components, decontaminate, exact_dedup, htmltext, langid, line_dedup, ngram_join, packing, quality, sharding, warc
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,6 +256,19 @@ def test_decontaminate_counts_thin_hits(spark):
     assert got == {0: [2], 1: [], 2: []}
 
 
+def test_decontaminate_short_items(spark, tmp_path):
+    """The query and the pipeline's stage look for short items exactly, at word bounds."""
+    items = [(1, "What is  Pi?"), (2, "what is pi?"), (3, "q"), (4, " \n"), (5, None), (6, "été à 3"), (7, "(a)")]
+    texts = ["so WHAT\nis pi? yes", "what is pie?", "somewhat is pi?", "what is pi?", "q", "qq q_ 1q", "x (q), y", None, "", "Dans été à 3.", "f(a)b", "été à 30", "What is", "is pi?"]
+    want = [[1, 2], [], [], [1, 2], [3], [], [3], [], [], [6], [7], [], [], []]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want))
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {i for i, v in enumerate(want) if not v}
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard_documents(docs).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS}
