@@ -314,12 +314,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
             for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
                 sets = []
                 for col, key in ((2, 0), (3, 1)):
-                    ids, first = np.unique(np.asarray(b.column(key)), return_index=True)
+                    # Each text of a class once: where an id has several, only that of the class's own set counts.
+                    of, code = np.asarray(b.column(key)), np.asarray(b.column(col).dictionary_encode().indices.fill_null(-1))
+                    first = np.unique(np.stack([of, code.astype(np.int64)]), axis=1, return_index=True)[1]
+                    ids = of[first]
                     buf, off, _ = utf8(b.column(col).take(pa.array(first)))
                     got = {}
                     for i, j in slices(off):
                         for c, s in zip(ids[i:j], shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed), strict=True):
-                            got[c] = s
+                            if c not in got or set_hash(s)[0] == c:
+                                got[c] = s
                     sets.append(got)
                 us, vs = [], []
                 for u, v in zip(np.asarray(b.column(0)), np.asarray(b.column(1)), strict=True):

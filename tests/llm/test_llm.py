@@ -107,6 +107,22 @@ def test_matrix_tokens_share():
                 assert ngram_join._agreeing(s, t) >= ngram_join.BOUND
 
 
+def test_links_of_ids_with_several_texts(spark):
+    """A class's links are verified on its own text, whichever of its id's texts comes first."""
+    def cls(t):
+        buf = np.frombuffer(t.encode(), np.uint8)
+        return ngram_join.set_hash(ngram_join.shingle_sets(buf, np.array([0, len(buf)]))[0])[0]
+
+    pairs, texts = [], []
+    for k in range(20):
+        own = [" ".join(f"w{k}x{i}" for i in range(n)) for n in (40, 41)]
+        u, v = map(cls, own)
+        pairs.append((u, v))
+        texts += [(c, t) for c, o in zip((u, v), own, strict=True) for t in (o, f"a wrong text of {c}", None)]
+    pairs, texts = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(texts, "cls long, text string")
+    assert set(ngram_join._verified(pairs.coalesce(1), texts, 0).collect()) == set(pairs.collect())
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
