@@ -363,6 +363,34 @@ def test_language(spark, empty):
     assert langid.identify_languages(empty, langid.fit_language_model(empty)).count() == 0
 
 
+def test_pipeline(spark, tmp_path):
+    """The chained stages keep what a brute-force chain of them keeps, and pack every token of it."""
+    rng = random.Random(8)
+    letters = {"aa": "abcde", "bb": "vwxyz"}
+    word = lambda v: "".join(rng.choice(letters[v]) for _ in range(5))
+    rows = [(i, " ".join(word(v) for _ in range(60)), v, 0, "") for i, v in enumerate(["aa", "bb"] * 60)]
+    odd = {500: None, 501: "", 502: "12 !! ??"}
+    copy = lambda i, j: (i, rows[j][1].upper(), rows[j][2], 0, "")
+    near = lambda i, j: (i, " ".join([*rows[j][1].split()[:-1], word(rows[j][2])]), rows[j][2], 0, "")
+    rows += [copy(200 + j, j) for j in range(0, 20, 2)] + [near(300 + j, j) for j in range(1, 40)]
+    items = [(k, rows[j][1][30:150]) for k, j in enumerate((3, 50, 77))]
+    rows += [(400 + k, " ".join(word("aa") for _ in range(30)) + " " + t + " " + " ".join(word("aa") for _ in range(30)), "aa", 0, "") for k, (_, t) in enumerate(items)]
+    rows += [(i, t, None, 0, "") for i, t in odd.items()]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r for r in rows if r[0] not in odd]
+    last = {r[1].translate(UP): r[0] for r in sorted(left, key=lambda r: r[0])}
+    left = [r for r in left if last[r[1].translate(UP)] == r[0]]
+    parts = brute_components(left)
+    left = [r for r in left if parts[r[0]][1] == r[0]]
+    left = [r for r in left if not any(t in r[1].translate(UP) for _, t in items)]
+    seen = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        seen[r["doc_id"]] += r["length"]
+    enc = packing.encoder(packing.tokenizer_path())
+    assert dict(seen) == {r[0]: len(enc.encode(r[1]) + packing.END) // 4 for r in left} and len(left) < len(rows) - 50
+
+
 def test_line_dedup(docs, empty):
     first, gone = {}, defaultdict(set)
     for i, t, *_ in sorted(ROWS, key=lambda r: r[0]):
