@@ -45,6 +45,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is of letters alone that all versions of Unicode agree on."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class _Words(dict):
     """Ids of words that follow ``lead``, worked out when first met.
 
@@ -57,12 +62,12 @@ class _Words(dict):
         self.enc, self.lead = enc, lead
 
     def __missing__(self, w: str) -> bytes:
-        if "\n" in w and len(parts := w.split("\n")) == len(w.split()):
+        if "\n" in w and all(parts := w.split("\n")) and parts == w.split():
             return self[parts[0]] + b"".join(self.enc.newline + self.enc.first[p] for p in parts[1:])
         core = w.rstrip(TRAILING)
-        if core != w and core.isalpha():
+        if core != w and _letters(core):
             ids = self[core] + self.enc.suffix(w[len(core) :])
-        elif core and core.isalpha():
+        elif _letters(core):
             ids = np.array([t.id for t in self.enc.model.tokenize("".join(map(BYTE_CHARS.__getitem__, (self.lead + w).encode())))], "<u4").tobytes()
         else:
             ids = self.enc.plain(self.lead + w)
@@ -76,7 +81,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A byte-level pre-tokeniser never joins what lies on both sides of a single space that has a word after it, so a
-    text is the concatenation of its words' ids; each different word is encoded once and then looked up.
+    text is the concatenation of its words' ids; each different word is encoded once and then looked up. A text that
+    holds one of the vocabulary's added tokens (such as an end mark) is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -86,7 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.first, self.rest = _Words(self, ""), _Words(self, " ")
         self.newline = self.plain("\n")
@@ -116,6 +122,8 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self.plain(text)
         head, *rest = self.words(text)
         return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))
 
