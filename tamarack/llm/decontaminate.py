@@ -11,16 +11,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tamarack.llm.common import _power, fold, slices, utf8
+from tamarack.llm.common import _power, fold, slices, staged, utf8
 
 Q = 8
 #: Edits allowed, as a share of an item's normalised bytes.
 BUDGET = 0.1
 #: Items with fewer normalised bytes are too short for edits: they are looked for as they are, at word bounds, where asked for.
 SHORTEST = 40
-#: Normalised benchmark bytes that one pass over the documents carries; more items take more passes.
-PASS_BYTES = 8 << 20
+#: Benchmark bytes that one pass over the documents carries; more items take more passes, each a job of its own.
+PASS_BYTES = 4 << 20
+#: Pairs of a place in a text and one in an item that are looked at together.
+PAIRS = 1 << 22
 _TABLE_BITS = 22
 _U = np.uint64
 
@@ -172,38 +175,77 @@ def find_items(index: Index, buf: np.ndarray, off: np.ndarray) -> list[list[int]
     if not len(pos):
         return out
     lo, hi = np.searchsorted(index.gram, g[pos], "left"), np.searchsorted(index.gram, g[pos], "right")
+    upto = np.concatenate([[0], np.cumsum(hi - lo)])
+    if upto[-1] <= PAIRS:
+        for r, k, low, high, least in _bands(index, off, pos, lo, hi):
+            if k not in out[r] and least >= index.bound[k] and _occurs(index, k, buf[off[r] : off[r + 1]], low, high):
+                out[r].append(k)
+        return out
+    # Grams that a text and an item repeat over and over: the bands' counts are added up over parts of the places.
+    total: dict[tuple[int, int, int, int], list[int]] = {}
+    a = 0
+    while a < len(pos):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        for key, count, low, high in _counts(index, off, *_pairs(index, off, pos[a:b], lo[a:b], hi[a:b])):
+            have = total.setdefault(key, [0, low, high])
+            have[:] = have[0] + count, min(have[1], low), max(have[2], high)
+        a = b
+    for (_, r, k, _), (count, low, high) in total.items():
+        if count >= index.bound[k] and k not in out[r] and _occurs(index, k, buf[off[r] : off[r + 1]], low, high):
+            out[r].append(k)
+    return out
+
+
+def _pairs(index: Index, off: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(place in the buffer, entry of the index, row, diagonal) of each shared q-gram."""
     n = hi - lo
     at = np.repeat(pos, n)
     entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item = index.item[entry]
     row = np.searchsorted(off, at, side="right") - 1
-    diagonal = at - off[row] - index.place[entry]
-    width = index.edits[item] + 1  # a band is twice this wide, and bands overlap by half
-    band = np.floor_divide(diagonal, width)
+    return at, entry, row, at - off[row] - index.place[entry]
+
+
+def _sorted_bands(index: Index, entry: np.ndarray, row: np.ndarray, diagonal: np.ndarray):
+    """For each of the two sets of bands: its number, the pairs' order, the sorted (row, item, band), and where each begins and how many pairs it has.
+
+    A band is twice as wide as an item's edits, and bands overlap by half.
+    """
+    item = index.item[entry]
+    band = np.floor_divide(diagonal, index.edits[item] + 1)
     for shift in (0, 1):
         key = np.stack([row, item, np.floor_divide(band + shift, 2)])
         order = np.lexsort(key[::-1])
         key = key[:, order]
         new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        count = np.diff(np.concatenate([new, [key.shape[1]]]))
+        yield shift, order, key, new, np.diff(np.concatenate([new, [key.shape[1]]]))
+
+
+def _bands(index: Index, off: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(row, item, least diagonal, largest one, places shared) of the bands that hold an item's bound of pairs."""
+    at, entry, row, diagonal = _pairs(index, off, pos, lo, hi)
+    for _, order, key, new, count in _sorted_bands(index, entry, row, diagonal):
         full = count >= index.bound[key[1, new]]
         for s, c in zip(new[full], count[full], strict=True):
-            r, k = int(key[0, s]), int(key[1, s])
             hits = order[s : s + c]
-            if k in out[r] or min(len(np.unique(at[hits])), len(np.unique(index.place[entry[hits]]))) < index.bound[k]:
-                continue
             ds = diagonal[hits]
-            if _occurs(index, k, buf[off[r] : off[r + 1]], int(ds.min()), int(ds.max())):
-                out[r].append(k)
-    return out
+            yield int(key[0, s]), int(key[1, s]), int(ds.min()), int(ds.max()), min(len(np.unique(at[hits])), len(np.unique(index.place[entry[hits]])))
+
+
+def _counts(index: Index, off: np.ndarray, at: np.ndarray, entry: np.ndarray, row: np.ndarray, diagonal: np.ndarray):
+    """((set of bands, row, item, band), pairs, least diagonal, largest one)."""
+    for shift, order, key, new, count in _sorted_bands(index, entry, row, diagonal):
+        ds = diagonal[order]
+        for s, c, low, high in zip(new, count, np.minimum.reduceat(ds, new), np.maximum.reduceat(ds, new), strict=True):
+            yield (shift, int(key[0, s]), int(key[1, s]), int(key[2, s])), int(c), int(low), int(high)
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES, short_items: bool = False) -> list[Index]:
-    """The benchmark in parts of about ``pass_bytes``; each is collected by itself."""
-    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_bytes: int | None = None):
+    """The benchmark's (id, text) rows in parts of about ``pass_bytes``, one after the other; the driver holds one at a time."""
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-size // pass_bytes))
-    return [Index([(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()], short_items) for k in range(parts)]
+    parts = max(1, -(-size // (pass_bytes or PASS_BYTES)))
+    for k in range(parts):
+        yield [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()], k + 1 == parts
 
 
 def _matches(index: Index, column) -> list[list[int]]:
@@ -221,42 +263,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, contaminated, n_items, item_ids): the benchmark items that occur in each whole text with at most BUDGET edits a byte.
 
     Null and empty texts hold none; blank or null items are not looked for, and items shorter than SHORTEST are
-    only with ``short_items``: exactly, and not within a word; equal items are all named.
-    Repeated rows are judged alike. An empty benchmark marks nothing, and an empty table gives an empty result.
+    only with ``short_items``: exactly, and not within a word; equal items are all named, once for each
+    id, in the order of their ids, a null id last. Ids may be of any type. Repeated rows are judged alike. An empty benchmark marks nothing, and an empty
+    table gives an empty result; further columns aren't read.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    kind = src.schema["doc_id"].dataType.simpleString()
-    parts = indexes(benchmark, item_col, item_text_col, short_items=short_items)
-
-    def run(batches):
-        for b in batches:
-            found = [[] for _ in range(b.num_rows)]
-            for index in parts:
-                for r, ks in enumerate(_matches(index, b.column(1))):
-                    found[r] += [index.ids[k] for k in ks]
-            found = [sorted(f) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(f) for f in found], pa.bool_()), pa.array([len(f) for f in found], pa.int32()), pa.array(found, pa.list_(_arrow(item_type)))], names=["doc_id", "contaminated", "n_items", "item_ids"])
-
-    return src.mapInArrow(run, f"doc_id {kind}, contaminated boolean, n_items int, item_ids array<{item_type}>")
-
-
-def _arrow(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    now = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    item_type = benchmark.schema[item_col].dataType
+    kind = f"doc_id {now.schema['doc_id'].dataType.simpleString()}, t string, item_ids array<{item_type.simpleString()}>"
+    now = now.select("doc_id", "t", F.array().cast(f"array<{item_type.simpleString()}>").alias("item_ids"))
+    arrow = pa.list_(to_arrow_type(item_type))
+
+    def one_pass(items, last):
+        def run(batches):
+            index = Index(items, short_items)
+            for b in batches:
+                found = [have + [index.ids[k] for k in ks] for have, ks in zip(b.column(2).to_pylist(), _matches(index, b.column(1)), strict=True)]
+                text = pa.nulls(b.num_rows, pa.string()) if last else b.column(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(found, arrow)], names=["doc_id", "t", "item_ids"])
+
+        return run
+
+    for items, last in benchmark_parts(benchmark, item_col, item_text_col):
+        now = now.mapInArrow(one_pass(items, last), kind)
+        if not last:
+            now = staged(now, "pass")
+    ordered = F.array_sort("item_ids")
+    return now.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_items"), ordered.alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs (see :func:`contaminated`); texts stay in their partitions."""
-    parts, at = indexes(benchmark, item_col, item_text_col, short_items=short_items), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+
+    def one_pass(items):
+        def run(batches):
+            index = Index(items, short_items)
+            for b in batches:
+                yield b.filter(pa.array([not f for f in _matches(index, b.column(at))], pa.bool_()))
 
-    def run(batches):
-        for b in batches:
-            bad = np.zeros(b.num_rows, bool)
-            for index in parts:
-                bad |= np.array([bool(f) for f in _matches(index, b.column(at))], bool)
-            yield b.filter(pa.array(~bad))
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    for items, last in benchmark_parts(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(one_pass(items), docs.schema)
+        if not last:
+            docs = staged(docs, "pass")
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
