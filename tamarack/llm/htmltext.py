@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of the given kinds, up to the given containers.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
+P = frozenset(("p",))
+#: Elements that the end tag of an inline element inside them doesn't close.
+KEEPERS = frozenset("table article main body".split())
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
 #: Elements, roles and words in class or id that mark what isn't the article.
 BOILER_TAGS = frozenset("nav footer aside form button select option input dialog menu svg canvas object embed audio video map head datalist fieldset".split())
@@ -33,10 +37,13 @@ BOILER_WORDS = frozenset(
     "header masthead footer sidebar aside widget comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip".split()
 )
 #: Words that say nothing of a node beside those: "comment-list" is named for comments alone, "no-comments" isn't.
-NEUTRAL_WORDS = frozenset("area bar block body box col column container group holder inner item items list outer row section wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons by col column container form global group holder icons inner item items left link links list outer page post posts right row section site slot stories top unit wrap wrapper".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[a-z]+")
+#: Tags where one's quotes don't close: each ends at its first ">".
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
+OPENING = re.compile(r"<[a-zA-Z]")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 
 
@@ -65,13 +72,14 @@ def _is_boiler(tag: str, attrs: str, inside_article: bool) -> bool:
 
 
 def _named(tag: str, attrs: str) -> int:
-    """2 for a class or id that names boilerplate alone, 1 for one that has other words too, else 0."""
+    """2 for a class or id that names boilerplate alone, 1 for one of whose names one does, else 0: "share-price" names none."""
     if not attrs or not attrs.strip() or tag in ("html", "body", "article", "main", "header"):
         return 0
     found = 0
     for name, value in ATTRIBUTE.findall(attrs):
         if name.lower() in ("class", "id") and not BOILER_WORDS.isdisjoint(words := WORD.findall(value.lower())):
-            found = max(found, 2 if all(w in BOILER_WORDS or w in NEUTRAL_WORDS for w in words) else 1)
+            whole = [all(w in BOILER_WORDS or w in NEUTRAL_WORDS for w in x) and not BOILER_WORDS.isdisjoint(x) for x in map(WORD.findall, value.lower().split())]
+            found = max(found, 2 if all(w in BOILER_WORDS or w in NEUTRAL_WORDS for w in words) else int(any(whole)))
     return found
 
 
@@ -141,10 +149,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes, runs = [Node("#root", -1, False)], []
     stack = [0]
     at, end = 0, len(page)
-    article = 0  # open article or main elements
+    opened: Counter[str] = Counter()  # open elements of each tag
+    endless: set[str] = set()  # raw tags with no end tag ahead
+    tokens = TOKEN
+
+    def close(d: int) -> None:
+        for k in stack[d:]:
+            opened[nodes[k].tag] -= 1
+        del stack[d:]
+
+    def last_open(tags: frozenset, bounds) -> int:
+        """Where the innermost open element of these tags is, or 0 if there is none before one in ``bounds``."""
+        if any(opened[t] for t in tags):
+            for d in range(len(stack) - 1, 0, -1):
+                if (t := nodes[stack[d]].tag) in tags:
+                    return d
+                if bounds(t):
+                    break
+        return 0
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = tokens.search(page, at)
         stop = m.start() if m else end
+        if stop > at and tokens is TOKEN and OPENING.search(page, at, stop):  # a tag that doesn't end: from here on quotes don't count
+            tokens = LOOSE
+            continue
         if stop > at:
             text = page[at:stop]
             if not m and (cut := UNFINISHED.search(text)):
@@ -161,56 +190,43 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             tag = tag.lower()
             attrs = m[2]
             if tag in RAW:
-                if close := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at):
-                    at = close.end()
+                found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if found:
+                    at = found.end()
                 elif tag != "title":
                     at = end
+                else:
+                    endless.add(tag)
                 continue
-            if tag in ("html", "body") and any(nodes[k].tag == tag for k in stack):
+            if tag in ("html", "body") and opened[tag]:
                 continue
             if tag in ENDS_P:
-                for d in range(len(stack) - 1, 0, -1):
-                    t = nodes[stack[d]].tag
-                    if t == "p":
-                        del stack[d:]
-                        break
-                    if t not in INLINE:
-                        break
+                if d := last_open(P, lambda t: t not in INLINE):
+                    close(d)
             elif tag in SIBLINGS:
                 ends, holds = SIBLINGS[tag]
-                for d in range(len(stack) - 1, 0, -1):
-                    t = nodes[stack[d]].tag
-                    if t in holds:
+                while d := last_open(ends, lambda t: t in holds):  # noqa: B023  called at once
+                    close(d)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
-                    if t in ends:
-                        del stack[d:]
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
             if tag == "body":  # the head is over, closed or not
                 while len(stack) > 1 and nodes[stack[-1]].tag == "head":
-                    stack.pop()
+                    close(len(stack) - 1)
             up = stack[-1]
             if tag == "br":
                 runs.append((up, " "))
-            boiler = nodes[up].boiler or _is_boiler(tag, attrs, article > 0)
+            boiler = nodes[up].boiler or _is_boiler(tag, attrs, opened["article"] + opened["main"] > 0)
             nodes.append(Node(tag, up, boiler))
             k = len(nodes) - 1
             nodes[k].named = 0 if boiler else _named(tag, attrs)
             nodes[up].children.append(k)
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(k)
-                article = sum(nodes[x].tag in ("article", "main") for x in stack) if tag in ("article", "main") else article
+                opened[tag] += 1
         elif m[3]:
             tag = m[3].lower()
-            for d in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[d]].tag
-                if t == tag:
-                    del stack[d:]
-                    if article:
-                        article = sum(nodes[x].tag in ("article", "main") for x in stack)
-                    break
-                if t in ("table", "article", "main", "body") and tag in INLINE:
-                    break
+            if opened[tag] and (d := last_open(frozenset((tag,)), lambda t: t in KEEPERS and tag in INLINE)):  # noqa: B023  called at once
+                close(d)
     _settle_names(nodes, runs)
     return nodes, runs
 
