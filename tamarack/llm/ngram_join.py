@@ -1,21 +1,24 @@
 """Similarity join of documents on word n-grams by a token-group matrix.
 
-Documents with equal shingle sets form a class. A class's *tokens* are contents of hash buckets of its shingle set: two
-sets within the similarity bound differ in at most ``d`` shingles, which spoil at most ``d`` buckets, so their ``d + l``
-most selective bucket contents must have ``l`` in common. Sorted by token these rows are the matrix:
-
-1. Classes with too few tokens that any other class has can't be linked; the others are candidates. For each, the
-   candidates' shingles give its coverage: how many of its shingles the union of all others holds.
-2. In each token's row the first class is a leader, and the others are tested against it: verified stars, closed to
-   components, partition similar documents into groups.
-3. Each group's union in the row (its members' largest coverage, sizes, and sketch bits) bounds the similarity of every
-   query class to any member; only groups whose bound qualifies are opened, and only for classes outside them.
-4. What opening leaves is verified on the whole texts.
-
-So a group of thousands of near copies costs its number of rows, not its pairs, and copies that are each too far from
-the others fall to their coverage. Two chances of missing a link are kept under 1e-9 a pair: a sketch of 1024 one-bit
-min-hashes that falls far below its mean (BOUND), and, for sets of 400 shingles or more, a sample of tokens by their
-hash that holds fewer than FEW of the thirty or more they share on average (KEPT).
+Documents with equal shingle sets form a class. Classes meet through *tokens*, contents of hash buckets of a shingle
+set: two sets within the similarity bound differ in at most ``d`` shingles, which spoil at most ``d`` buckets, so their
+``d + l`` first bucket contents in a common order have ``l`` in common. Then:
+
+1. Classes with fewer than ``l`` tokens that any other class has can't be linked, nor can those of whose shingles too
+   few occur in any other candidate (their coverage).
+2. Similar classes are partitioned into groups: each joins the class of the largest covered share that it meets in a
+   token's row, the group's leader.
+3. Each group's token union is stored: a row (shingle, group), with the least and the largest class that have it. The
+   overlap of a class with a group's union, itself left out, is a shuffled count over these rows. Only groups whose
+   overlap and sizes allow a link are kept for a class.
+4. Each class is tested against the leaders of those groups; the links make components. A class that its own leader's
+   component holds needs no more than other components' groups; the other classes open all groups that they kept.
+5. Opening a group takes its members in blocks, each with the union of its shingles and the rows that have them. A
+   query's overlap with the block's union is bounded again, and the overlaps with all members are counted at once. One
+   link for each component that a query meets is told, never all pairs.
+
+All bounds are exact: no link can be missed but by a collision of 64-bit hashes. Hot tokens, groups and leaders are dealt
+over many tasks (HOT, BLOCK, QUERIES), and a task holds one block at most.
 """
 
 from __future__ import annotations
@@ -32,16 +35,11 @@ from tamarack.llm.exact_dedup import rows_with_ids, rows_without_ids
 #: Linked: OF * intersection >= LEAST * union.
 LEAST, OF = 80, 100
 WIDTH = 5
-SKETCH = 1024
-#: Sketch bits that agree in pairs that may be linked. At similarity 0.8 a bit agrees with probability 0.9: 921.6 of them, with a deviation of 9.6.
-BOUND = 859
-#: Sets of sizes from 2^k have their tokens sampled so that about this many of the set's size remain.
-KEPT = 256
-#: Tokens that linked sets of 400 shingles or more share at least.
-FEW = 4
+#: Rows of one batch with a token from which on the token's rows are dealt out by class, too.
+HOT = 64
+#: Shingles of a group's members that one task holds at a time, and queries that it takes.
+BLOCK, QUERIES = 1 << 18, 1 << 12
 _U = np.uint64
-_MULT = (mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)).reshape(1, -1)
-_ADD = mix(np.arange(1, SKETCH + 1, dtype=_U) * _U(0xD1B54A32D192ED03)).reshape(1, -1)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, seed: int = 0):
@@ -73,7 +71,8 @@ def tokens(s: np.ndarray) -> np.ndarray:
     """Hashes of the set's selective bucket contents.
 
     Sizes fall in bands [2^k, 2^(k+1)); a pair meets in the band of its larger set, so a set near the end of its band
-    has tokens for the next one too. Contents with more shingles come first: they are shared by chance the least.
+    has tokens for the next one too. Contents with more shingles come first: they are shared by chance the least. An
+    empty bucket is a content as well. Linked sets share max(1, n / 50) tokens at least.
     """
     n = len(s)
     band = n.bit_length() - 1
@@ -92,22 +91,10 @@ def tokens(s: np.ndarray) -> np.ndarray:
             value = np.zeros(m, _U)
             value[full] = np.add.reduceat(mix(s + _U(999))[order], np.concatenate([[0], np.cumsum(count[full])[:-1]]))
             value = mix(value + mix(np.arange(m, dtype=_U) + _U(m << 20)))
-            value = value[np.lexsort((value, -count))[: d + max(1, n // 40)]]
-            if 1 << k > KEPT:
-                value = value[(mix(value + _U(5)) >> _U(44)) < _U((KEPT << 20) >> k)]
-            out.append(value)
+            out.append(value[np.lexsort((value, -count))[: d + max(1, n // 40)]])
     return np.concatenate(out)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """SKETCH one-bit min-hashes, as 64-bit words."""
-    with np.errstate(over="ignore"):
-        low = np.full(SKETCH, np.iinfo(np.uint64).max, _U)
-        for k in range(0, len(s), 512):
-            low = np.minimum(low, (s[k : k + 512, None] * _MULT + _ADD).min(0))
-        return np.packbits((mix(low) & _U(1)).astype(np.uint8)).view(_U)
-
-
 def _signatures(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, n_shingles, cls, chk)."""
 
@@ -127,14 +114,27 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _matrix(docs: DataFrame, seed: int) -> DataFrame:
-    """(token, cls, n): a row for each token of each class, about once a class."""
+    """(token, cls, n, hot, place): a row for each token of each class, about once a class.
+
+    Rows of tokens that one batch has many of are ``hot``: they go to a place of their token and class, and one copy to the token's own.
+    """
+
+    def batch(t, c, n):
+        t, c, n = (np.concatenate(x) for x in (t, c, n))
+        _, first, inverse, count = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+        hot = (count >= HOT)[inverse]
+        with np.errstate(over="ignore"):
+            place = np.where(hot, mix(t.view(_U) + mix(c.view(_U))).view(np.int64), t)
+        mark = first[count >= HOT]
+        cols = [np.concatenate([x, x[mark]]) for x in (t, c, n)] + [np.concatenate([hot, np.zeros(len(mark), bool)]), np.concatenate([place, t[mark]])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "cls", "n", "hot", "place"])
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             buf, off, _ = utf8(b.column(0))
+            t, c, n, held = [], [], [], 0
             for i, j in slices(off):
-                t, c, n = [], [], []
                 for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed):
                     if not len(s) or (k := set_hash(s)[0]) in seen:
                         continue
@@ -144,237 +144,228 @@ def _matrix(docs: DataFrame, seed: int) -> DataFrame:
                     t.append(v)
                     c.append(np.full(len(v), k))
                     n.append(np.full(len(v), len(s)))
-                if t:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (t, c, n)], names=["token", "cls", "n"])
-
-    return docs.select("text").mapInArrow(run, "token long, cls long, n long")
-
-
-def _profiles(texts: DataFrame, seed: int) -> DataFrame:
-    """(cls, n, cover, sketch) of each candidate: its size, how many of its shingles another candidate has, and its sketch."""
-
-    def sets_of(b):
-        buf, off, _ = utf8(b.column(1))
-        for i, j in slices(off):
-            for c, s in zip(np.asarray(b.column(0))[i:j], shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed), strict=True):
-                if set_hash(s)[0] == c:  # an id that several texts have brings them all
-                    yield c, s
-
-    def explode(batches):
-        for b in batches:
-            part: list = []
-            for c, s in sets_of(b):
-                part.append((s.view(np.int64), np.full(len(s), c)))
-                if len(part) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*part, strict=True)], names=["t", "cls"])
-                    part = []
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*part, strict=True)], names=["t", "cls"])
-
-    def count(batches):
-        for t, c in _runs(batches, 2):
-            at, size = _starts(t)
-            many = np.repeat((np.maximum.reduceat(c, at) != np.minimum.reduceat(c, at)), size)
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-            k, n = np.unique(c[many & new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["cls", "k"])
-
-    def sketches(batches):
-        for b in batches:
-            rows = [(c, len(s), sketch(s).tobytes()) for c, s in sets_of(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cls", "n", "sketch"])
-
-    cover = texts.mapInArrow(explode, "t long, cls long").repartition("t").sortWithinPartitions("t", "cls").mapInArrow(count, "cls long, k long").groupBy("cls").agg(F.sum("k").alias("cover"))
-    return texts.mapInArrow(sketches, "cls long, n long, sketch binary").distinct().join(cover, "cls").select("cls", "n", "cover", "sketch")
-
-
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch bits that agree, over the last axis."""
-    return SKETCH - np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
-
-
-def _sized(a, b) -> np.ndarray:
-    return OF * np.minimum(a, b) >= LEAST * np.maximum(a, b)
+                    held += len(v)
+                if held > 1_000_000:
+                    yield batch(t, c, n)
+                    t, c, n, held = [], [], [], 0
+            if t:
+                yield batch(t, c, n)
 
-
-def _words_of(column) -> np.ndarray:
-    """Sketches as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(len(column), SKETCH // 64)
-
-
-def _runs(batches, width: int):
-    """Whole runs of rows with equal first column, as one (columns, run starts) a batch; a run over a batch's end is carried on."""
-    held = None
-    for b in batches:
-        cols = [_words_of(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in b.columns[:width]]
-        if held is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if cols[0][0] <= cols[0][-1] else 0
-        held = [c[last:] for c in cols]
-        if last:
-            yield [c[:last] for c in cols]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def _starts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    return at, np.diff(np.concatenate([at, [len(t)]]))
-
-
-def _covered(total, cover) -> np.ndarray:
-    """Whether an overlap of ``cover`` can link sets of ``total`` shingles together."""
-    return (LEAST + OF) * cover >= LEAST * total
+    return docs.select("text").mapInArrow(run, "token long, cls long, n long, hot boolean, place long")
 
 
 def _shared_rows(matrix: DataFrame) -> DataFrame:
-    """The matrix rows of tokens that two classes or more have."""
+    """The matrix rows (token, cls, n) of tokens that two classes or more have; a task holds one row of a token beyond its batch."""
 
     def run(batches):
-        for t, c, n in _runs(batches, 3):
+        held = None  # the last row, and whether its token is known to be shared (and the row told)
+        for b in batches:
+            t, c, n, hot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(t):
+                continue
+            known = np.zeros(len(t), bool)
+            if held is not None:
+                t, c, n, hot, known = (np.concatenate([[x], y]) for x, y in zip(held, (t, c, n, hot, known), strict=True))
+            told = known.copy()
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # a class of several tasks
-            t, c, n = t[new], c[new], n[new]
-            many = np.repeat(*(lambda size: (size > 1, size))(_starts(t)[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (t, c, n)], names=["token", "cls", "n"])
+            at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            size = np.diff(np.concatenate([at, [len(t)]]))
+            shared = (np.add.reduceat(new.astype(np.int64), at) > 1) | np.logical_or.reduceat(hot | known, at)
+            out = np.repeat(shared, size) & new & ~told
+            held = (t[-1], c[-1], n[-1], bool(hot[at[-1] :].any()), bool(shared[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c, n)], names=["token", "cls", "n"])
 
-    return matrix.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, "token long, cls long, n long")
+    rows = matrix.repartition("place").sortWithinPartitions("token", "cls", "hot").select("token", "cls", "n", "hot")
+    return rows.mapInArrow(run, "token long, cls long, n long")
 
 
-def _led_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v): classes and the leaders they may be linked to, from (token, cls, n, cover, sketch)."""
+def _sets(docs: DataFrame, seed: int) -> DataFrame:
+    """(cls, n, s): the class of each text, its size and its sorted shingles."""
 
     def run(batches):
-        for t, c, n, cover, sk in _runs(batches, 5):
-            at, size = _starts(t)
-            lead = np.repeat(at, size)
-            may = np.flatnonzero((c != c[lead]) & _sized(n, n[lead]) & _covered(n + n[lead], np.minimum(cover, cover[lead])))
-            may = may[_agreeing(sk[may], sk[lead[may]]) >= BOUND]
-            pair = np.unique(np.stack([np.minimum(c, c[lead])[may], np.maximum(c, c[lead])[may]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["u", "v"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, "u long, v long").distinct()
-
-
-def _open_groups(t, g, c, n, cover, sk):
-    """Pairs of classes of different groups that one token's row leaves: each class against the groups' bounds, then the members of those that qualify."""
-    at, size = _starts(g)
-    if len(at) < 2:
-        return
-    some, every = np.bitwise_or.reduceat(sk, at), np.bitwise_and.reduceat(sk, at)
-    small, large, most = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(cover, at)
-    group = np.repeat(np.arange(len(at)), size)
-    for k in range(0, len(c), 256):
-        q = slice(k, k + 256)
-        ok = (OF * large >= LEAST * n[q, None]) & (OF * n[q, None] >= LEAST * small)
-        ok &= _covered(n[q, None] + small, np.minimum(cover[q, None], most))
-        mine = group[q, None]
-        ok &= (size > size[mine]) | ((size == size[mine]) & (np.arange(len(at)) > mine))  # the larger group is opened for the smaller one's classes
-        for i in np.flatnonzero(ok.any(1)):
-            x = k + i
-            js = np.flatnonzero(ok[i])
-            # A bit can agree unless no member has the query's value.
-            off = (sk[x] & ~some[js]) | (~sk[x] & every[js])
-            for j in js[SKETCH - np.bitwise_count(off).sum(1, dtype=np.int32) >= BOUND]:
-                m = np.arange(at[j], at[j] + size[j])
-                m = m[_sized(n[x], n[m]) & _covered(n[x] + n[m], np.minimum(cover[x], cover[m]))]
-                for y in m[_agreeing(sk[x], sk[m]) >= BOUND]:
-                    yield c[x], c[y]
-
-
-def _opened_pairs(grouped: DataFrame) -> DataFrame:
-    """(u, v): pairs across groups that opening leaves, from (token, grp, cls, n, cover, sketch)."""
-
-    def run(batches):
-        told: set = set()
-        for cols in _runs(batches, 6):
-            found = set()
-            t, g = cols[:2]
-            at, size = _starts(t)
-            for a, z in zip(at, size, strict=True):
-                if z > 1 and g[a] != g[a + z - 1]:
-                    found.update(p for p in _open_groups(*(x[a : a + z] for x in cols)) if p not in told)
-            if found:
-                if len(told) < 1_000_000:  # a pair is told about once a task; others are equal rows
-                    told |= found
-                u, v = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    rows = grouped.repartition("token").sortWithinPartitions("token", "grp", "cls")
-    return rows.mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """The pairs (u, v) that are linked, found on the whole texts."""
-    both = pairs.join(texts.select(F.col("cls").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("cls").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+        for b in batches:
+            buf, off, _ = utf8(b.column(0))
+            for i, j in slices(off):
+                got = [x for x in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed) if len(x)]
+                if got:
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+                    s = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([set_hash(x)[0] for x in got], pa.int64()), pa.array(np.diff(at).astype(np.int64)), s], names=["cls", "n", "s"])
+
+    return docs.select("text").mapInArrow(run, "cls long, n long, s array<bigint>")
+
+
+def _enough(overlap, n, other):
+    """Whether an overlap of so many shingles can link sets of these sizes, or of ``other`` at least."""
+    return (LEAST + OF) * overlap >= LEAST * (n + F.greatest(other, F.ceil(n * LEAST / OF)))
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """(cls, grp): the class of the largest covered share that each class meets in a token's row, from (token, cls, share)."""
+    best = rows.groupBy("token").agg(F.max(F.struct("share", "cls")).alias("best"))
+    return rows.select("token", "cls").join(best, "token").groupBy("cls").agg(F.max("best").alias("best")).select("cls", F.col("best.cls").alias("grp"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of linked classes."""
+    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("s").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.filter(OF * same >= LEAST * (F.size("a") + F.size("b") - same)).select("u", "v")
+
+
+class _Block:
+    """Members of a group with the union of their shingles."""
+
+    def __init__(self, cls, comp, weight, sets):
+        self.cls, self.comp, self.weight = cls, comp, weight
+        self.n = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        self.union, where, self.count = np.unique(every, return_inverse=True, return_counts=True)
+        self.holder = np.repeat(np.arange(len(sets)), self.n)[np.argsort(where, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+        self.own = {c: k for k, c in enumerate(cls.tolist())}
+
+    def links(self, cls: int, s: np.ndarray) -> np.ndarray:
+        """Rows of the members that are linked with the class."""
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        at = at[self.union[at] == s]
+        n, own = len(s), self.own.get(cls)
+        small = max(int(self.n.min()), -(-n * LEAST // OF))
+        if (LEAST + OF) * int((self.count[at] > (own is not None)).sum()) < LEAST * (n + small):
+            return np.zeros(0, np.int64)
+        size = self.count[at]
+        rows = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        same = np.bincount(self.holder[rows], minlength=len(self.n))
+        ok = OF * same >= LEAST * (n + self.n - same)
+        if own is not None:
+            ok[own] = False
+        return np.flatnonzero(ok)
+
+
+def _opened(rows: DataFrame, every: bool) -> DataFrame:
+    """(u, v, weight): links of queries to members of the groups that they open, one for each component and block, and the documents that the links lead to.
+
+    ``rows``: (grp, block, part, query, cls, comp, weight, s), a block's members before its queries. With ``every`` the links inside a
+    component are counted, too.
+    """
 
     def run(batches):
-        for whole in batches:
-            for b in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                sets = []
-                for col, key in ((2, 0), (3, 1)):
-                    # Each text of a class once: where an id has several, only that of the class's own set counts.
-                    of, code = np.asarray(b.column(key)), np.asarray(b.column(col).dictionary_encode().indices.fill_null(-1))
-                    first = np.unique(np.stack([of, code.astype(np.int64)]), axis=1, return_index=True)[1]
-                    ids = of[first]
-                    buf, off, _ = utf8(b.column(col).take(pa.array(first)))
-                    got = {}
-                    for i, j in slices(off):
-                        for c, s in zip(ids[i:j], shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed), strict=True):
-                            if c not in got or set_hash(s)[0] == c:
-                                got[c] = s
-                    sets.append(got)
-                us, vs = [], []
-                for u, v in zip(np.asarray(b.column(0)), np.asarray(b.column(1)), strict=True):
-                    x, y = sets[0][u], sets[1][v]
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if OF * same >= LEAST * (len(x) + len(y) - same) and set_hash(x)[0] == u and set_hash(y)[0] == v:
-                        us.append(u)
-                        vs.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return staged(both.mapInArrow(run, "u long, v long").distinct(), "links")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): the component of every document under links between similar sets.
-
-    component_id is the smallest id that links reach; n_links counts the verified links of the document's class to
-    others (links inside a component that its groups already settle are not looked for). A text without words, or
-    null, has an empty set: it is a component of its own, also beside other empty ones. Fewer than WIDTH words are one
-    shingle. Rows that repeat an id are alike if their texts are; a null id is never a component's id unless it is
-    alone. An empty table gives an empty result.
+        key, held, block = None, [], None
+        for b in batches:
+            num = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            lists = b.column(7)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = []
+            for k in range(b.num_rows):
+                if (now := (num[0][k], num[1][k], num[2][k])) != key:
+                    key, held, block = now, [], None
+                s = values[at[k] : at[k + 1]]
+                if not num[3][k]:
+                    held.append((num[4][k], num[5][k], num[6][k], s.copy()))
+                    continue
+                if block is None and held:
+                    block = _Block(*(np.array(x) for x in list(zip(*held, strict=True))[:3]), [x[3] for x in held])
+                    held = []
+                if block is None:
+                    continue
+                found = block.links(int(num[4][k]), s)
+                if not every:
+                    found = found[block.comp[found] != num[5][k]]
+                if len(found):
+                    comps, first, inverse = np.unique(block.comp[found], return_index=True, return_inverse=True)
+                    total = np.bincount(inverse, weights=block.weight[found]).astype(np.int64)
+                    out += [(num[4][k], block.cls[found[f]], w) for f, w in zip(first, total, strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["u", "v", "weight"])
+
+    dealt = rows.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "query", "cls")
+    return dealt.select("grp", "block", "part", "query", "cls", "comp", "weight", "s").mapInArrow(run, "u long, v long, weight long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), and n_links with ``count_links``: the component of every document under links between similar sets.
+
+    component_id is the smallest id that links reach. n_links counts the other documents that a document is linked
+    with; it takes every class as a query of the groups it may be linked into, where components alone need those only
+    that their groups' leaders don't settle. A text without words, or null, has an empty set: it is a component of its
+    own, also beside other empty ones. Fewer than WIDTH words are one shingle. Rows that repeat an id are alike if their
+    texts are, and each counts; of an id with several texts each row has the component of its own text. A row with a
+    null id has the n_links of its text but no component, and gives no links. An empty table gives an empty result;
+    further columns of ``docs`` aren't read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(4):
         signed = staged(_signatures(docs, seed), "signatures")
         known = signed.filter("n_shingles > 0 and doc_id is not null")
-        classes = staged(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("chk").alias("lo"), F.max("chk").alias("hi")), "classes")
+        found = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+        classes = staged(found, "classes")
         if classes.filter("lo <> hi").isEmpty():
             break
     else:
         raise RuntimeError("set hashes collide under each seed")
     shared = staged(_shared_rows(_matrix(docs, seed)), "matrix")
-    enough = F.col("count") >= F.when(F.col("n") >= 400, F.lit(FEW)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n") / 50)))
-    wanted = staged(shared.groupBy("cls", "n").count().filter(enough).select("cls").join(classes.select("cls", "doc_id"), "cls"), "candidates")
-    texts = staged(rows_with_ids(docs, wanted.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id").select("cls", "text"), "texts")
-    profiles = staged(_profiles(texts, seed), "profiles").filter((LEAST + OF) * F.col("cover") >= LEAST * (F.col("n") + F.ceil(F.col("n") * LEAST / OF)))
-    rows = staged(shared.select("token", "cls").join(profiles, "cls").select("token", "cls", "n", "cover", "sketch"), "rows")
+    least_tokens = F.greatest(F.lit(1), F.floor(F.col("n") / 50))
+    met = shared.groupBy("cls", "n").count().filter(F.col("count") >= least_tokens)
+    wanted = staged(met.select("cls").join(classes.select("cls", "doc_id", "weight"), "cls"), "wanted")
+    # An id may have several texts: of the sets of its rows only a wanted class's own is taken, once.
+    sets = _sets(rows_with_ids(docs, wanted.select("doc_id").distinct(), "doc_id"), seed).dropDuplicates(["cls"])
+    sets = staged(sets.join(wanted.select("cls", "weight"), "cls"), "sets")
+    every = sets.select(F.explode("s").alias("t"), "cls")
+    twice = every.groupBy("t").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("t")
+    covered = staged(every.join(twice, "t"), "covered")
+    cover = covered.groupBy("cls").count().join(sets.select("cls", "n", "weight"), "cls")
+    cover = cover.filter(_enough(F.col("count"), F.col("n"), F.lit(1))).select("cls", "n", "weight", (F.col("count") / F.col("n")).alias("share"))
+    cover = staged(cover, "cover")
+    home = _leaders(shared.select("token", "cls").join(cover.select("cls", "share"), "cls"))
+    home = staged(cover.join(home, "cls").select("cls", "grp", "n", "weight"), "home")
+    group = staged(home.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("size")), "groups")
+    union = staged(covered.join(home.select("cls", "grp"), "cls").groupBy("t", "grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")), "unions")
+    # The matrix of prefix tokens tells which groups a class may meet at all, so that overlaps are counted for these alone.
+    prefix = staged(shared.select("token", "cls").join(home.select("cls", F.col("grp").alias("own"), "n"), "cls"), "prefix")
     drop_staged(shared)
-    stars = _verified(staged(_led_pairs(rows), "led"), texts, seed)
-    groups = staged(connected_components(stars), "groups")
-    grouped = rows.join(groups.select(F.col("node").alias("cls"), F.col("component").alias("g")), "cls", "left").select("token", F.coalesce("g", "cls").alias("grp"), "cls", "n", "cover", "sketch")
-    links = _verified(staged(_opened_pairs(grouped), "opened"), texts, seed)
-    edges = stars.unionByName(links)
-    parts = connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-    degree = edges.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    held = prefix.groupBy("token", F.col("own").alias("grp")).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    others = (F.col("grp") != F.col("own")) | (F.col("lo") != F.col("hi"))
+    meets = prefix.join(held, "token").filter(others).groupBy("cls", "own", "n", "grp").count().filter(F.col("count") >= least_tokens)
+    meets = meets.drop("count").join(group, "grp").filter((OF * F.col("most") >= LEAST * F.col("n")) & (OF * F.col("n") >= LEAST * F.col("least")))
+    meets = staged(meets, "meets")
+    overlap = covered.join(meets.select("cls", "own", "grp"), "cls").join(union, ["t", "grp"]).filter(others).groupBy("cls", "grp").count()
+    routes = meets.join(overlap, ["cls", "grp"]).filter(_enough(F.col("count"), F.col("n"), F.col("least")))
+    routes = staged(routes.select("cls", "own", "grp", "size", "total"), "routes")
+    drop_staged(covered)
+    drop_staged(union)
+    stars = staged(_linked(routes.filter("cls <> grp").select(F.col("cls").alias("u"), F.col("grp").alias("v")), sets.select("cls", "s")), "stars")
+    settled = staged(connected_components(stars), "settled")
+
+    def component(df, of, name):
+        return df.join(settled.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+
+    placed = staged(component(home.join(routes.select("cls").distinct(), "cls"), "cls", "comp"), "placed")
+    if count_links:
+        queries = routes.join(placed.select("cls", "comp", "weight"), "cls")
+    else:
+        sizes = group.select(F.col("grp").alias("own"), F.col("size").alias("own_size"))
+        queries = component(component(routes.join(placed.select("cls", "comp", "weight"), "cls"), "own", "own_comp"), "grp", "grp_comp").join(sizes, "own")
+        smaller = F.struct("own_size", "own") < F.struct("size", "grp")
+        queries = queries.filter((F.col("comp") != F.col("own_comp")) | ((F.col("comp") != F.col("grp_comp")) & smaller))
+    queries = staged(queries.select("cls", "grp", "comp", "weight", "total"), "queries")
+    plan = queries.groupBy("grp").agg(F.ceil(F.max("total") / BLOCK).alias("blocks"), F.ceil(F.count("*") / QUERIES).alias("parts"))
+    spread = lambda of, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(of)
+    dealt = lambda of, n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).alias(of)
+    plan = staged(plan, "plan")
+    inside = placed.join(plan, "grp").select("grp", dealt("block", "blocks", 1), spread("part", "parts"), F.lit(False).alias("query"), "cls", "comp", "weight")
+    asked = queries.join(plan, "grp").select("grp", spread("block", "blocks"), dealt("part", "parts", 2), F.lit(True).alias("query"), "cls", "comp", "weight")
+    opened = staged(_opened(inside.unionByName(asked).join(sets.select("cls", "s"), "cls"), count_links), "opened")
+    links = opened.select("u", "v").unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    parts = connected_components(links)
     least = parts.join(classes, parts["node"] == classes["cls"]).groupBy("component").agg(F.min("doc_id").alias("least"))
-    placed = classes.select("cls", F.col("doc_id").alias("own")).join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(least, "component", "left").join(degree, "cls", "left")
-    placed = placed.select("cls", F.coalesce("least", "own").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = classes.select("cls", F.col("doc_id").alias("own"), "weight").join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(least, "component", "left")
+    degree = opened.groupBy(F.col("u").alias("cls")).agg(F.sum("weight").alias("others"))
+    placed = placed.join(degree, "cls", "left").select("cls", F.coalesce("least", "own").alias("component_id"), "weight", F.coalesce("others", F.lit(0).cast("long")).alias("others"))
     full, empty = signed.filter("n_shingles > 0"), signed.filter("n_shingles = 0")
-    out = full.join(placed, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    number = F.coalesce(F.col("weight") - F.when(F.col("doc_id").isNull(), 0).otherwise(1) + F.col("others"), F.lit(0)).cast("long").alias("n_links")
+    out = full.join(placed, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), number)
+    out = out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    return out if count_links else out.drop("n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,4 +376,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), count_links=True)

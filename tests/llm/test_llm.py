@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations, product
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tamarack.llm import components, decontaminate, exact_dedup, htmltext, langid, line_dedup, ngram_join, packing, quality, sharding, warc
@@ -81,46 +83,69 @@ def brute_components(rows):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-def test_ngram_join(docs, empty):
-    got = ngram_join.similar_components(docs).collect()
+def test_ngram_join(docs, empty, monkeypatch):
+    sets = {r[0]: shingle_set(r[1]) for r in ROWS}
     want = brute_components(ROWS)
+    links = {i: sum(1 for j, y in sets.items() if j != i and x and y and 100 * len(x & y) >= 80 * len(x | y)) for i, x in sets.items()}
+    got = ngram_join.similar_components(docs, count_links=True).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert {r["doc_id"]: r["n_links"] for r in got} == links
     assert len({c for _, c in want.values()}) < len(ROWS)
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, c in want.values()}
     assert ngram_join.similar_components(empty).count() == 0
+    for name, value in (("HOT", 2), ("BLOCK", 300), ("QUERIES", 3)):  # hot tokens, several blocks and parts
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.similar_components(docs, count_links=True).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and {r["doc_id"]: r["n_links"] for r in got} == links
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()} == want
 
 
 def test_matrix_tokens_share():
-    """Sets at the bound share as many tokens as candidates must have, and their sketches stay over the bound."""
+    """Sets at the bound share as many tokens as candidates must have."""
     rng = np.random.default_rng(2)
-    for n in (1, 2, 5, 9, 40, 127, 128, 255, 300, 399, 401, 512, 1500, 4000):
-        for _ in range(6):
+    for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 40, 127, 128, 255, 300, 399, 401, 512, 1500, 4000):
+        for _ in range(12):
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
             x = next(k for k in range(n, -1, -1) if 100 * (n - k) >= 80 * (n + k))
             b = np.unique(np.concatenate([rng.permutation(a)[x:], rng.integers(0, 2**63, x, dtype=np.uint64)]))
             c = np.unique(rng.permutation(a)[: max(1, -(-n * 8 // 10))])
             for y in (b, c):
-                shared = len(np.intersect1d(ngram_join.tokens(a), ngram_join.tokens(y)))
-                assert shared >= (ngram_join.FEW if n >= 400 else max(1, n // 50))
-                s, t = ngram_join.sketch(a), ngram_join.sketch(y)
-                assert ngram_join._agreeing(s, t) >= ngram_join.BOUND
-
-
-def test_links_of_ids_with_several_texts(spark):
-    """A class's links are verified on its own text, whichever of its id's texts comes first."""
-    def cls(t):
-        buf = np.frombuffer(t.encode(), np.uint8)
-        return ngram_join.set_hash(ngram_join.shingle_sets(buf, np.array([0, len(buf)]))[0])[0]
-
-    pairs, texts = [], []
-    for k in range(20):
-        own = [" ".join(f"w{k}x{i}" for i in range(n)) for n in (40, 41)]
-        u, v = map(cls, own)
-        pairs.append((u, v))
-        texts += [(c, t) for c, o in zip((u, v), own, strict=True) for t in (o, f"a wrong text of {c}", None)]
-    pairs, texts = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(texts, "cls long, text string")
-    assert set(ngram_join._verified(pairs.coalesce(1), texts, 0).collect()) == set(pairs.collect())
+                assert len(np.intersect1d(ngram_join.tokens(a), ngram_join.tokens(y))) >= max(1, n // 50)
+
+
+def test_ngram_join_repeated_and_odd_ids(spark):
+    """Each row of an id with several texts has the component of its own text, in any order of rows; null ids link nothing."""
+    a, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(40))
+    near = a.replace("w59", "x")
+    rows = [(1, a), (1, other), (7, near), (1, a), (9, other.upper()), (None, near), (5, None), (5, ""), (None, "lonely words")]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.similar_components(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), count_links=True).collect()
+        want = [(1, 56, 1, 2), (1, 56, 1, 2), (7, 56, 1, 2), (1, 36, 1, 1), (9, 36, 1, 1), (None, 56, None, 3), (5, 0, 5, 0), (5, 0, 5, 0), (None, 1, None, 0)]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    nulls = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.similar_components(nulls).collect()] == [(None, 0, None)] * 2
+    clash = spark.createDataFrame([(1, a, 0, 0, "x", 0), (2, near, 1, 1, "y", 1)], "doc_id long, text string, cls long, n_shingles long, component_id string, grp long")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.similar_components(clash).collect()) == [(1, 1), (2, 1)]
+    assert [tuple(r)[0] for r in ngram_join.keep_one_of_each(clash).collect()] == [1]
+
+
+def test_ngram_join_crowded_groups(spark):
+    """Copies of one text that are near the bound, many of them too far from each other, against brute force."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(70), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows += [(1000 + i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([4, 30, 60])))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    for count in (False, True):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(df, count_links=count).collect()} == want
 
 
 def test_components(spark):
@@ -161,11 +186,38 @@ def test_quality(spark, empty):
     assert np.allclose(values, [0, 0.75, 1]) and np.allclose(knots, [0, 1.5, 3])
 
 
+def test_quality_scores_depend_on_their_row_alone():
+    rng = np.random.default_rng(3)
+    dim, width = len(quality.STATISTICS), quality.WIDTH
+    model = quality.QualityModel(rng.normal(size=dim), rng.uniform(0.5, 2, dim), rng.normal(size=(dim, width)), rng.uniform(0, 6, width), rng.normal(size=width + 1), np.array([-9.0, 9]), np.array([0.0, 1]))
+    x = rng.normal(size=(700, dim))
+    raw = model.raw(x)
+    assert np.allclose(raw, model.expand(x) @ model.weights)
+    for n in (1, 2, 3, 5, 8, 17, 255, 257, 400):
+        assert (model.raw(x[700 - n :]) == raw[700 - n :]).all() and (model.raw(np.repeat(x[:1], n, 0)) == raw[0]).all()
+
+
+def test_quality_weights_are_the_ridge_solution(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("abcdeXYZ!.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 40))), "en", 0, "") for i in range(300)]
+    labels = [(i, rng.randrange(2), 0) for i in range(300)]
+    table = quality.statistics_table(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    model = quality.fit_quality_model(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    part = [r for r in table.collect() if zlib.crc32(str(r["id"]).encode()) % 3 == 0]
+    z, y = model.expand(np.array([r["x"] for r in part])), np.array([labels[r["id"]][1] for r in part], float)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(part) * np.eye(z.shape[1]) / 10, z.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-6)
+
+
 def test_packing(spark, docs, empty):
     path = packing.tokenizer_path()
     enc = packing.encoder(path)
-    texts = [t or "" for _, t, *_ in ROWS] + ["a  b", "a\n b", " lead", "trail ", "don't\nit's", "日本 語\n\nx", "<|endoftext|> a", "x\t y", "Été, 12.5%!!"]
-    assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    fresh = Tokenizer.from_file(path)
+    texts = [t or "" for _, t, *_ in ROWS] + ["a  b", "a\n b", " lead", "trail ", "don't\nit's", "日本 語\n\nx", "<|endoftext|> a", "b<|endoftext|>", "x\t y", "Été, 12.5%!!", "a\tb\tc\n\n", "x\ty\n\u00a0"]
+    rng = random.Random(1)
+    parts = ["a", "to", "Ünd", "don't", "x1", "12", ".", ",", "!?", "語", "\u0370", "é", "'s", "_", "#", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\x85", "\x1c", "\r\n", "<|endoftext|>", "<|", "\U0001f600", "\u200d", "\u0301"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(10_000)]
+    assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
     for group in (60_000, 10):
         seqs, seen = defaultdict(list), defaultdict(dict)
         for r in packing.pack_documents(docs, group=group).collect():
@@ -285,6 +337,26 @@ def test_decontaminate_short_items(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {i for i, v in enumerate(want) if not v}
 
 
+def test_decontaminate_odd_ids_and_passes(spark, monkeypatch):
+    """Ids of any type, null ones too; several passes give what one gives; grams that repeat over and over are counted in parts."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    items = [(k if k % 3 else None, text(80)) for k in range(9)] + [(20, "a" * 300), (21, "tiny one")]
+    rows = [(k, text(30) + " ".join(t for _, t in items[k : k + 2]) + text(30), 0, "x") for k in range(9)] + [(50, "b" + "a" * 4000, 1, "y"), (51, "Tiny  One!", 1, "y"), (None, None, 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated int, item_ids string").repartition(2)
+    want = {k: sorted(({i for i, t in items[k : k + 2]}), key=lambda i: (i is None, i)) for k in range(9)} | {50: [20], 51: [21], None: []}
+    for kind in ("smallint", "string", "decimal(9,0)", "bigint"):
+        bench = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+        got = {r["doc_id"]: [None if i is None else int(i) for i in r["item_ids"]] for r in decontaminate.contaminated(docs, bench, short_items=True).collect()}
+        assert {k: sorted(v, key=lambda i: (i is None, i)) for k, v in got.items()} == {k: v for k, v in want.items()}, kind
+    for name, value in (("PAIRS", 5000), ("PASS_BYTES", 300)):
+        monkeypatch.setattr(decontaminate, name, value)
+        got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs, bench, short_items=True).collect()}
+        assert got == want
+    kept = decontaminate.drop_contaminated(docs, bench, short_items=True)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [None]
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard_documents(docs).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS}
@@ -342,6 +414,27 @@ def test_html_names_on_wrappers():
         assert htmltext.main_text(f"<body><div class='has-comments'><{tag}>{post}</{tag}{'>' + long}</div></body>") == want
 
 
+def test_html_names_that_hold_a_word_of_boilerplate():
+    """Only whole names count: "share-price" in an article stays."""
+    page = "<body><article><h1>Head</h1><p class='share-price'>Up by three.</p><div class='social-policy'><p>More of it.</p></div><div class='share-buttons'>Share!</div></article></body>"
+    assert htmltext.main_text(page) == "Head\n\nUp by three.\n\nMore of it."
+
+
+def test_html_densities_decide():
+    """With neither article, main nor names, link lists beside the text go and the text stays."""
+    links = "<div>" + "".join(f"<span><a href='{k}'>topic {k}</a></span> " for k in range(25)) + "</div>"
+    text = "".join(f"<p>paragraph {k} " + "word " * 40 + "end.</p>" for k in range(6))
+    got = htmltext.main_text(f"<body>{links}<div><div>{text}</div></div>{links}</body>")
+    assert got == "\n\n".join(f"paragraph {k} " + "word " * 40 + "end." for k in range(6))
+
+
+def test_html_broken_pages_take_linear_time():
+    for page in ("<div>" * 100_000 + "</p>" * 100_000, "<div class=\"x>" * 50_000, "<div a='>" * 50_001, "<b><i>" * 50_000 + "<div>" * 20_000, "<title>" * 50_000, "<li>x" * 100_000, "</a>" * 100_000, "<tr><td>" * 50_000):
+        began = time.process_time()
+        htmltext.main_text(page + "<p>end")
+        assert time.process_time() - began < 12, page[:20]
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>x y</p>"), (2, None, "<p>x y</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract_pages(df).collect()) == [(1, "", 0), (2, "x y", 3), (2, "x y", 3)]
