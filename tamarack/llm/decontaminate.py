@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tamarack.llm.common import _power, fold, slices, staged, utf8
+from tamarack.llm.common import _power, fold, slices, small_batches, staged, utf8
 
 Q = 8
 #: Edits allowed, as a share of an item's normalised bytes.
@@ -267,6 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id, in the order of their ids, a null id last. Ids may be of any type. Repeated rows are judged alike. An empty benchmark marks nothing, and an empty
     table gives an empty result; further columns aren't read.
     """
+    small_batches(docs.sparkSession)
     now = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     item_type = benchmark.schema[item_col].dataType
     kind = f"doc_id {now.schema['doc_id'].dataType.simpleString()}, t string, item_ids array<{item_type.simpleString()}>"
@@ -293,6 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item occurs (see :func:`contaminated`); texts stay in their partitions."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def one_pass(items):

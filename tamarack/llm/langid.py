@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.llm.common import fold, slices, unsigned_crc, utf8
+from tamarack.llm.common import fold, slices, small_batches, unsigned_crc, utf8
 
 BUCKETS = 8192
 ORDERS = (2, 3, 4)
@@ -172,6 +172,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*[f"c{k}" for k in range(len(keep))], "lang_pred", "score", "rejected"])
 
     fields = [*[f"c{k} {src.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(keep))], "lang_pred string, score double, rejected boolean"]
+    small_batches(docs.sparkSession)
     out = src.mapInArrow(run, ", ".join(fields))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "rejected")
 
@@ -185,6 +186,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             _, _, rejected = predict_batch(model, b.column(at))
             yield b.filter(pa.array(~rejected))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

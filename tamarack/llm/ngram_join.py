@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_staged, fold, mix, shingles, slices, staged, utf8, words
+from tamarack.llm.common import drop_staged, fold, mix, shingles, slices, small_batches, staged, utf8, words
 from tamarack.llm.components import connected_components
 from tamarack.llm.exact_dedup import rows_with_ids, rows_without_ids
 
@@ -36,7 +36,7 @@ from tamarack.llm.exact_dedup import rows_with_ids, rows_without_ids
 LEAST, OF = 80, 100
 WIDTH = 5
 #: Rows of one batch with a token from which on the token's rows are dealt out by class, too.
-HOT = 64
+HOT = 16
 #: Shingles of a group's members that one task holds at a time, and queries that it takes.
 BLOCK, QUERIES = 1 << 18, 1 << 12
 _U = np.uint64
@@ -114,26 +114,23 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _matrix(docs: DataFrame, seed: int) -> DataFrame:
-    """(token, cls, n, hot, place): a row for each token of each class, about once a class.
+    """(token, cls, hot): a row for each token of each class, about once a class.
 
-    Rows of tokens that one batch has many of are ``hot``: they go to a place of their token and class, and one copy to the token's own.
+    Rows of tokens that one batch has many of are ``hot``: they are dealt by token and class, and one copy, not hot, by the token.
     """
 
-    def batch(t, c, n):
-        t, c, n = (np.concatenate(x) for x in (t, c, n))
+    def batch(t, c):
+        t, c = np.concatenate(t), np.concatenate(c)
         _, first, inverse, count = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
-        hot = (count >= HOT)[inverse]
-        with np.errstate(over="ignore"):
-            place = np.where(hot, mix(t.view(_U) + mix(c.view(_U))).view(np.int64), t)
-        mark = first[count >= HOT]
-        cols = [np.concatenate([x, x[mark]]) for x in (t, c, n)] + [np.concatenate([hot, np.zeros(len(mark), bool)]), np.concatenate([place, t[mark]])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "cls", "n", "hot", "place"])
+        hot, mark = (count >= HOT)[inverse], first[count >= HOT]
+        cols = [np.concatenate([x, x[mark]]) for x in (t, c)] + [np.concatenate([hot, np.zeros(len(mark), bool)])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "cls", "hot"])
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             buf, off, _ = utf8(b.column(0))
-            t, c, n, held = [], [], [], 0
+            t, c, held = [], [], 0
             for i, j in slices(off):
                 for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], seed):
                     if not len(s) or (k := set_hash(s)[0]) in seen:
@@ -143,40 +140,39 @@ def _matrix(docs: DataFrame, seed: int) -> DataFrame:
                     v = tokens(s).view(np.int64)
                     t.append(v)
                     c.append(np.full(len(v), k))
-                    n.append(np.full(len(v), len(s)))
                     held += len(v)
-                if held > 1_000_000:
-                    yield batch(t, c, n)
-                    t, c, n, held = [], [], [], 0
+                if held > 1 << 17:
+                    yield batch(t, c)
+                    t, c, held = [], [], 0
             if t:
-                yield batch(t, c, n)
+                yield batch(t, c)
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n long, hot boolean, place long")
+    return docs.select("text").mapInArrow(run, "token long, cls long, hot boolean")
 
 
 def _shared_rows(matrix: DataFrame) -> DataFrame:
-    """The matrix rows (token, cls, n) of tokens that two classes or more have; a task holds one row of a token beyond its batch."""
+    """The matrix rows (token, cls) of tokens that two classes or more have; a task holds one row of a token beyond its batch."""
 
     def run(batches):
         held = None  # the last row, and whether its token is known to be shared (and the row told)
         for b in batches:
-            t, c, n, hot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            t, c, hot = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(t):
                 continue
             known = np.zeros(len(t), bool)
             if held is not None:
-                t, c, n, hot, known = (np.concatenate([[x], y]) for x, y in zip(held, (t, c, n, hot, known), strict=True))
+                t, c, hot, known = (np.concatenate([[x], y]) for x, y in zip(held, (t, c, hot, known), strict=True))
             told = known.copy()
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # a class of several tasks
             at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             size = np.diff(np.concatenate([at, [len(t)]]))
             shared = (np.add.reduceat(new.astype(np.int64), at) > 1) | np.logical_or.reduceat(hot | known, at)
             out = np.repeat(shared, size) & new & ~told
-            held = (t[-1], c[-1], n[-1], bool(hot[at[-1] :].any()), bool(shared[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c, n)], names=["token", "cls", "n"])
+            held = (t[-1], c[-1], bool(hot[at[-1] :].any()), bool(shared[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c)], names=["token", "cls"])
 
-    rows = matrix.repartition("place").sortWithinPartitions("token", "cls", "hot").select("token", "cls", "n", "hot")
-    return rows.mapInArrow(run, "token long, cls long, n long")
+    place = F.when(F.col("hot"), F.xxhash64("token", "cls")).otherwise(F.col("token"))
+    return matrix.repartition(place).sortWithinPartitions("token", "cls", "hot").mapInArrow(run, "token long, cls long")
 
 
 def _sets(docs: DataFrame, seed: int) -> DataFrame:
@@ -293,11 +289,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id has the n_links of its text but no component, and gives no links. An empty table gives an empty result;
     further columns of ``docs`` aren't read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(4):
         signed = staged(_signatures(docs, seed), "signatures")
         known = signed.filter("n_shingles > 0 and doc_id is not null")
-        found = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+        found = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("weight"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
         classes = staged(found, "classes")
         if classes.filter("lo <> hi").isEmpty():
             break
@@ -305,8 +302,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise RuntimeError("set hashes collide under each seed")
     shared = staged(_shared_rows(_matrix(docs, seed)), "matrix")
     least_tokens = F.greatest(F.lit(1), F.floor(F.col("n") / 50))
-    met = shared.groupBy("cls", "n").count().filter(F.col("count") >= least_tokens)
-    wanted = staged(met.select("cls").join(classes.select("cls", "doc_id", "weight"), "cls"), "wanted")
+    met = shared.groupBy("cls").count().join(classes.select("cls", "doc_id", "n", "weight"), "cls").filter(F.col("count") >= least_tokens)
+    wanted = staged(met.select("cls", "doc_id", "weight"), "wanted")
     # An id may have several texts: of the sets of its rows only a wanted class's own is taken, once.
     sets = _sets(rows_with_ids(docs, wanted.select("doc_id").distinct(), "doc_id"), seed).dropDuplicates(["cls"])
     sets = staged(sets.join(wanted.select("cls", "weight"), "cls"), "sets")

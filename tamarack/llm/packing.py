@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_staged, staged
+from tamarack.llm.common import drop_staged, small_batches, staged
 
 CAPACITY = 2048
 #: Pieces that one task packs; a bound on its memory, not on the input.
@@ -166,6 +166,7 @@ def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(took, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import fold, slices, staged, unsigned_crc, utf8, words
+from tamarack.llm.common import fold, slices, small_batches, staged, unsigned_crc, utf8, words
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "space", "line_share", "stop", "comma", "bang", "symbol", "pipe", "quote",
@@ -95,6 +95,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             flat = pa.array(x.astype(np.float32).ravel(), pa.float32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(STATISTICS)), flat)], names=["id", "x"])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, x array<float>")
 
 
