@@ -17,6 +17,7 @@ NO_SPACE_BEFORE, NO_SPACE_AFTER = ",.!?;:)]}\"'", "([{\"'"
 CJK = "\\u4e00-\\u9fff"
 CJK_WIDE = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
 WS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u001c-\\u001f]"
+WS_NOT_SPACE = "[" + WS[1:].replace("\\s", "\\t\\n\\x0b\\f\\r")
 
 
 def _set(chars: str) -> str:
@@ -36,8 +37,8 @@ def rstrip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """SCL-04: runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(blank(c), f"{WS}+", " "))
+    """SCL-04: runs of white space as one space, trimmed; single spaces are left alone, as most are."""
+    return F.trim(F.regexp_replace(blank(c), f"{WS_NOT_SPACE}{WS}*| {WS}+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -47,7 +48,7 @@ def tokens(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """SCL-01: lower case; what isn't a-z, 0-9, an apostrophe or a space is a space; collapsed. Null gives ''."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(blank(c)), "[^a-z0-9' ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(blank(c)), "[^a-z0-9' ]+", " "), " {2,}", " "))
 
 
 def letters_only(c: Column) -> Column:
@@ -68,7 +69,7 @@ def word_tokens(c: Column) -> Column:
 
 def one_word_stripped(c: Column) -> Column:
     """SCL-08: at most one word once seven punctuation marks are gone."""
-    return F.size(tokens(F.regexp_replace(blank(c), "[.,?!:;\\-]", ""))) <= 1
+    return ~F.regexp_replace(blank(c), "[.,?!:;\\-]", "").rlike(f"[^{WS[1:-1]}]{WS}+[^{WS[1:-1]}]")
 
 
 def one_word(c: Column) -> Column:
@@ -121,14 +122,20 @@ def _glue(left: Column, right: Column) -> Column:
     return tight, last.rlike(f"^{_set(NO_SPACE_AFTER)}$")
 
 
+def _join_piece(acc: Column, piece: Column) -> Column:
+    tight, opened = _glue(acc, piece)
+    return F.when(piece == "", acc).when(acc == "", piece).when(tight | opened, F.concat(acc, piece)).otherwise(F.concat(acc, F.lit(" "), piece))
+
+
 def join_pieces(a: Column) -> Column:
     """SCL-20: pieces joined with a space, but not before closing or after opening marks; empty pieces add nothing."""
+    return strip(F.aggregate(F.transform(a, blank), F.lit(""), _join_piece))
 
-    def step(acc: Column, piece: Column) -> Column:
-        tight, opened = _glue(acc, piece)
-        return F.when(piece == "", acc).when(acc == "", piece).when(tight | opened, F.concat(acc, piece)).otherwise(F.concat(acc, F.lit(" "), piece))
 
-    return strip(F.aggregate(F.transform(a, blank), F.lit(""), step))
+def running_joins(a: Column) -> Column:
+    """SCL-20 for every prefix of ``a``, in one fold."""
+    joined = F.aggregate(F.transform(a, blank), F.array().cast("array<string>"), lambda out, p: F.concat(out, F.array(_join_piece(blank(F.try_element_at(out, F.lit(-1))), p))))
+    return F.transform(joined, strip)
 
 
 def append(prefix: Column, more: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.functions.text import word_tokens
+from tamarack.functions.text import normalize, word_tokens
 
 
 def greedy_positions(tokens: Column, words: Column, start: Column | int = 0) -> Column:
@@ -41,8 +41,8 @@ def chunk_positions(chunks: Column, words: Column, reset: bool = False) -> Colum
 
 
 def chunk_intervals(chunks: Column, words: Column, reset: bool = False) -> Column:
-    """array<struct(start, end)> of chunks over array<struct(word, start, end)>; nulls for a chunk without a match."""
-    places = chunk_positions(chunks, F.transform(words, lambda w: w["word"]), reset)
+    """array<struct(start, end)> of chunks over array<struct(word, start, end)>, both normalised; nulls for a chunk without a match."""
+    places = chunk_positions(chunks, F.transform(words, lambda w: normalize(w["word"])), reset)
 
     def interval(p: Column) -> Column:
         hit = F.filter(p, lambda x: x > 0)
@@ -71,8 +71,9 @@ def window_of_seconds(end: Column, seconds: float) -> Column:
 def emission_windows(intervals: Column, duration: Column, seconds: float = 0.96, leftovers: str = "append") -> Column:
     """WIN-01, WIN-02: for each window, the chunks (from 0) emitted in it, in order.
 
-    A chunk is emitted in the first window whose end isn't before its own, never before an earlier chunk. Chunks that
-    no window takes, and those without an interval, go to the last window (``append``) or nowhere (``drop``).
+    A chunk is emitted in the first window whose end isn't before its own. Chunks that no window takes, and those
+    without an interval, go to the last window (``append``) or nowhere (``drop``). Without any interval there is one
+    empty window.
     """
     ends = F.transform(intervals, lambda i: i["end"])
     last = F.coalesce(F.array_max(ends), F.lit(0.0))
@@ -87,7 +88,8 @@ def emission_windows(intervals: Column, duration: Column, seconds: float = 0.96,
         rest = F.filter(index, lambda i: (i < F.size(ends)) & (F.get(at, i).isNull() | (F.get(at, i) >= total)))
         return F.when(k == total - 1, F.concat(own, rest)).otherwise(own)
 
-    return F.when((total <= 0) | (F.size(ends) == 0), F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))), held))
+    none = F.array().cast("array<int>")
+    return F.when(~F.exists(ends, lambda e: e.isNotNull()), F.array(none)).when(total <= 0, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))), held))
 
 
 def window_text(windows: Column, segments: Column, sep: str) -> Column:

@@ -60,8 +60,13 @@ def in_all(df: DataFrame, key: str, group: str, groups: int) -> DataFrame:
 
 def classify_source(final: Column, manifest: Column) -> Column:
     """AGG-37, JOI-07, JOI-33: no_manifest, exact, case, punct_only or mismatch."""
-    a, b = T.collapse(final), T.collapse(manifest)
-    return F.when(manifest.isNull(), "no_manifest").when(a == b, "exact").when(F.lower(a) == F.lower(b), "case").when(T.normalize(final) == T.normalize(manifest), "punct_only").otherwise("mismatch")
+
+    def compared(p: Column) -> Column:  # collapsed once for all three tests
+        a, b = p["a"], p["b"]
+        return F.when(a == b, "exact").when(F.lower(a) == F.lower(b), "case").when(T.normalize(a) == T.normalize(b), "punct_only").otherwise("mismatch")
+
+    both = F.array(F.struct(T.collapse(final).alias("a"), T.collapse(manifest).alias("b")))
+    return F.when(manifest.isNull(), "no_manifest").when(final == manifest, "exact").otherwise(F.get(F.transform(both, compared), 0))
 
 
 def status_counts(df: DataFrame, *by: str) -> DataFrame:

@@ -40,18 +40,20 @@ def merge_one_word(en: Column, zh: Column, forward: bool = False) -> Column:
     a space, target parts without. Arrays of different lengths give nulls in ``forward`` form and stay as they are else.
     """
     pairs = F.zip_with(en, zh, lambda e, z: F.struct(T.blank(e).alias("e"), T.blank(z).alias("z"), (T.one_word(e) if forward else T.one_word_stripped(e)).alias("w")))
-    init = F.array().cast("array<struct<e:string,z:string,w:boolean>>")
 
-    def glue(a: Column, b: Column) -> Column:
-        e = F.concat_ws(" ", a["e"], b["e"])
-        return F.struct((T.collapse(e) if forward else e).alias("e"), F.concat(a["z"], b["z"]).alias("z"), F.lit(False).alias("w"))
+    def begins(a: Column, i: Column) -> Column:
+        led = (i == 1) & F.get(a, 0)["w"] if forward else F.lit(False)
+        return (i == 0) | ~(F.get(a, i)["w"] | led)
 
-    def step(out: Column, p: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        first = (F.size(out) == 1) & last["w"] if forward else F.lit(False)
-        return F.when(F.size(out) == 0, F.array(p)).when(p["w"] | first, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(glue(last, p)))).otherwise(F.concat(out, F.array(p)))
+    def glue(part: Column) -> Column:
+        e = F.array_join(F.transform(part, lambda p: p["e"]), " ")
+        return F.struct((F.when(F.size(part) > 1, T.collapse(e)).otherwise(e) if forward else e).alias("e"), F.array_join(F.transform(part, lambda p: p["z"]), "").alias("z"))
 
-    done = F.aggregate(pairs, init, step)
+    def grouped(a: Column) -> Column:  # where groups begin, then each cut out once
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0))), lambda i: (i < F.size(a)) & begins(a, i))
+        return F.get(F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: glue(F.slice(a, at + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - at)))), 0)
+
+    done = F.get(F.transform(F.array(pairs), grouped), 0)
     same = F.size(en) == F.size(zh)
     other = F.struct(F.when(F.lit(not forward), en).alias("en"), F.when(F.lit(not forward), zh).alias("zh"))
     return F.when(same, F.struct(F.transform(done, lambda p: p["e"]).alias("en"), F.transform(done, lambda p: p["z"]).alias("zh"))).otherwise(other)

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.functions.text import append, join_pieces
+from tamarack.functions.text import append, running_joins
 
 
 def running_pieces(df: DataFrame, key: str, order: str, piece: str) -> DataFrame:
-    """WIN-05: what has been observed of each key up to each row."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("observed", join_pieces(F.collect_list(piece).over(w)))
+    """WIN-05: what has been observed of each key up to each row: one fold a key, so the work is that of the texts written."""
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*[c for c in df.columns if c != key]).alias("row")))).alias("rows"))
+    heard = F.transform("rows", lambda r: r["row"][piece])
+    return rows.select(key, F.inline(F.zip_with("rows", running_joins(heard), lambda r, o: F.struct(r["row"].alias("row"), o.alias("observed"))))).select(*[F.col(key) if c == key else F.col("row")[c].alias(c) for c in df.columns], "observed")
 
 
 def last_n(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
@@ -99,9 +100,8 @@ def medoids(df: DataFrame, key: str, item: str, vector: str) -> DataFrame:
     With unit vectors that sum is n minus the dot product with the group's summed vector, so no pairs are made: one
     pass adds up the vectors, one scores them. Ties fall to the smaller item.
     """
-    at = df.select(key, item, F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     norm = df.select(key, item, vector, F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
-    unit = at.join(norm.select(key, item, "norm"), [key, item]).select(key, "d", (F.col("x") / F.col("norm")).alias("u"))
+    unit = norm.select(key, F.posexplode(vector).alias("d", "x"), "norm").select(key, "d", (F.col("x").cast("double") / F.col("norm")).alias("u"))
     centre = unit.groupBy(key, "d").agg(F.sum("u").alias("c")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("centre"))
     dot = F.aggregate(F.zip_with(vector, "centre", lambda x, c: x.cast("double") * c), F.lit(0.0), lambda a, v: a + v)
     scored = norm.join(centre, key).select(key, item, (dot / F.col("norm")).alias("sim"))

@@ -21,8 +21,8 @@ def candidates(dist: DataFrame, keys: list[str], top_p: float = 0.0, min_p: floa
 def intersection_vote(dist: DataFrame, step: list[str], voter: str, token: str = "token", p: str = "p", **policy) -> DataFrame:
     """AGG-24, SET-04: by step, the token that every voter keeps with the largest mean probability; none if there is no such token."""
     voters = dist.groupBy(*step).agg(F.count_distinct(voter).alias("voters"))
-    kept = candidates(dist, [*step, voter], token=token, p=p, **policy).select(*step, voter, token)
-    total = kept.join(dist, [*step, voter, token]).groupBy(*step, token).agg(F.count("*").alias("n"), F.sum(p).alias("s"))
+    kept = candidates(dist, [*step, voter], token=token, p=p, **policy)
+    total = kept.groupBy(*step, token).agg(F.count("*").alias("n"), F.sum(p).alias("s"))
     able = total.join(voters, step).filter("n = voters").withColumn("mean_p", F.col("s") / F.col("voters"))
     best = Window.partitionBy(*step).orderBy(F.col("mean_p").desc(), F.col(token))
     return able.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select(*step, token, "mean_p")

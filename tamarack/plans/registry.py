@@ -244,7 +244,8 @@ _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9
 SELECT doc_id, n AS norm, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS n_tokens FROM (SELECT doc_id, {_NORM} AS n FROM documents)""")
 def normalize_tokens(spark, sf):
     """SCL-01, SRC-12."""
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"), F.size(T.word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    n = table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return n.withColumn("n_tokens", F.when(F.col("norm") == "", 0).otherwise(F.regexp_count("norm", F.lit(" ")) + 1).cast("long"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) AS norm FROM documents")
