@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import blank, strip
+from tamarack.functions.text import WS, blank, strip
 
 
 def clean_model_text(c: Column) -> Column:
@@ -57,7 +57,11 @@ def json_block(c: Column) -> Column:
 
 def safe_json(c: Column, schema: str) -> Column:
     """SCL-40: parsed as it stands, else from its brace block; null if neither parses."""
-    return F.coalesce(F.from_json(c, schema, {"mode": "PERMISSIVE"}), F.from_json(json_block(c), schema, {"mode": "PERMISSIVE"}))
+
+    def whole(t: Column) -> Column:  # what doesn't parse would give a struct of nulls
+        return F.when(t.rlike("^\\s*\\{") & F.get_json_object(t, "$").isNotNull(), t)
+
+    return F.from_json(F.coalesce(whole(c), whole(json_block(c))), schema)
 
 
 def judge_score(c: Column, field: str = "score") -> Column:
@@ -172,3 +176,21 @@ def used_utterance(path: Column, marker: str) -> Column:
 def is_chat_model(c: Column) -> Column:
     """FLT-24."""
     return F.lower(c).rlike("-it\\b|instruct|chat")
+
+
+def clean_future(observed: Column, raw: Column) -> Column:
+    """SCL-32: cleaned model text, without the observed text it repeats; its first line."""
+    t = clean_model_text(raw)
+    rest = F.when(F.startswith(t, observed), F.regexp_replace(F.substr(t, F.length(observed) + 1), f"^{WS}+", "")).otherwise(t)
+    return strip(F.split_part(rest, F.lit("\n"), F.lit(1)))
+
+
+def distinct_futures(observed: Column, outputs: Column) -> Column:
+    """SCL-79: first sentences of the cleaned continuations, the first of those equal but for case, without empty ones."""
+    cut = F.filter(F.transform(outputs, lambda o: first_sentence(clean_continuation(observed, o))), lambda s: s != "")
+    return F.get(F.transform(F.array(cut), lambda a: F.get(F.transform(F.array(F.transform(a, F.lower)), lambda low: F.filter(a, lambda _, i: F.array_position(low, F.get(low, i)) == i + 1)), 0)), 0)
+
+
+def prediction(c: Column) -> Column:
+    """FLT-34: a score as a number; what is missing or none raises."""
+    return F.coalesce(c.try_cast("double"), F.raise_error(F.lit("no prediction")).cast("double"))

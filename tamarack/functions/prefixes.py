@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import normalize_zh
+
 #: Fixed values.
 WORD_HEADS = "一这那其某各该此每两几何"
 NOISE_PREFIXES = ("一们", "一为", "一名", "一位", "们", "为", "名", "位")
@@ -118,3 +120,23 @@ def strip_observed(observed: Column, continuation: Column, least: int = 3) -> Co
     n = F.least(F.length(observed), F.length(continuation))
     k = F.get(F.filter(F.sequence(n, F.lit(least), F.lit(-1)), lambda k: F.lower(F.substr(observed, F.length(observed) - k + 1, k)) == F.lower(F.substr(continuation, F.lit(1), k))), 0)
     return F.when(n < least, continuation).when(k.isNull(), continuation).otherwise(F.ltrim(F.substr(continuation, k + 1)))
+
+
+def quorum_backoff(output: Column, fragments: Column, k: Column) -> Column:
+    """SCL-75: what ``k`` fragments support of a refused output: its longest supported prefix as it stands, else without
+    leading markers on both sides, else the longest prefix that ``k`` of the fragments without markers share."""
+    bare = F.filter(F.transform(fragments, strip_marker), lambda f: f != "")
+    raw = quorum_prefix_of(output, fragments, k)
+    cut = quorum_prefix_of(strip_marker(output), bare, k)
+    return F.when(raw != "", raw).when(F.size(bare) < k, "").when(cut != "", cut).otherwise(quorum_prefix(bare, k))
+
+
+def lcp_normalized(a: Column, b: Column) -> Column:
+    """SCL-68: the common prefix of two texts without white space."""
+    x, y = normalize_zh(a), normalize_zh(b)
+    return F.left(x, lcp_length(x, y))
+
+
+def shortest(prefixes: Column) -> Column:
+    """AGG-34: the shortest of several safe prefixes, the first of equally short ones; null for none."""
+    return F.get(prefixes, (F.array_position(F.transform(prefixes, F.length), F.array_min(F.transform(prefixes, F.length))) - 1).cast("int"))

@@ -5,6 +5,9 @@ White space is Unicode white space throughout, as WS spells it for Java; an empt
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -219,3 +222,35 @@ def suspicious_tail(c: Column) -> Column:
 def chars_prefix(c: Column, n: int) -> Column:
     """SCL-26: the shortest prefix with ``n`` characters that aren't white space."""
     return F.regexp_extract(blank(c), f"(?s)^((?:{WS}*[^{WS[1:-1]}]){{{n}}})", 1) if n > 0 else F.lit("")
+
+
+def composed(c: Column) -> Column:
+    """Unicode NFC."""
+
+    @F.pandas_udf("string")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return F.when(c.rlike("^[\\x00-\\x7f]*$"), c).otherwise(nfc(c))
+
+
+def normalize_zh(c: Column) -> Column:
+    """SCL-06: composed, without white space."""
+    return F.regexp_replace(composed(blank(c)), WS, "")
+
+
+def clean_translation(c: Column) -> Column:
+    """SCL-25: the first line without invisible characters, as ``normalize_zh``."""
+    line = F.split_part(strip(blank(c)), F.lit("\n"), F.lit(1))
+    return normalize_zh(F.regexp_replace(line, "[\\u200b-\\u200f\\u2060\\ufeff]", ""))
+
+
+def sanitized_vote(c: Column) -> Column:
+    """SCL-51: a vote's text without candidate labels, brackets and quotes in front."""
+    t = F.regexp_replace(normalize_zh(c), "^(?:(?:候选[A-Z]|Candidate[A-Z]|[A-Z])[:：]|\\[[A-Z0-9]+\\]|[\"“”'`])+", "")
+    return F.regexp_replace(t, "^[\"'“”`\\[\\]:：]+", "")
+
+
+def punct_gap(source: Column, target: Column, threshold: int) -> Column:
+    """FLT-12: sentence ends of source and target differ by more than ``threshold``."""
+    return F.abs(count_chars(source, EN_SENT) - count_chars(target, ZH_SENT)) > threshold

@@ -133,3 +133,13 @@ def shard_totals(df: DataFrame, shard: str, doc: str, expected: int) -> DataFram
     all_ = df.sparkSession.range(expected).select(F.col("id").cast("int").alias(shard))
     got = df.groupBy(F.col(shard).cast("int").alias(shard)).agg(F.count("*").alias("rows"), F.count_distinct(doc).alias("docs"))
     return all_.join(got, shard, "left").na.fill(0, ["rows", "docs"])
+
+
+def value_map(df: DataFrame, key: str, name: str, value: str, order: str) -> DataFrame:
+    """JOI-25: (key, name, value): by key, the value that stands last for each name."""
+    return df.groupBy(key, name).agg(F.max_by(value, order).alias(value))
+
+
+def in_three(a: DataFrame, b: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """JOI-09: the rows of three tables that share a key."""
+    return a.join(b, key).join(c, key)

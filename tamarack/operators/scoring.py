@@ -62,3 +62,14 @@ def hit_rate(hits: Column, queries: Column) -> Column:
     """AGG-22: per cent from two growing counters over a group; NaN if no query was made."""
     dq = F.max(queries) - F.min(queries)
     return F.when(dq > 0, 100.0 * (F.max(hits) - F.min(hits)) / F.when(dq != 0, dq)).otherwise(F.lit(float("nan")))
+
+
+def timings(df: DataFrame, seconds: str, calls: str, *by: str) -> DataFrame:
+    """AGG-21: rows, seconds and calls in all, seconds a row and a call (null without calls)."""
+    g = df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(seconds).alias("seconds"), F.sum(calls).alias("calls"))
+    return g.withColumns({"per_row": F.col("seconds") / F.col("rows"), "per_call": F.try_divide("seconds", "calls")})
+
+
+def token_cost(prompt: Column, answer: Column, prompt_price: float, answer_price: float) -> Column:
+    """AGG-23: the price of summed tokens, prices by the million."""
+    return (F.sum(prompt) * prompt_price + F.sum(answer) * answer_price) / 1_000_000

@@ -165,3 +165,35 @@ def restore_punctuation(segments: Column, manifest: Column, case_sensitive: bool
         return pd.Series([restore_segments(None if a is None else list(a), b, case_sensitive) for a, b in zip(s, m, strict=True)], dtype=object)
 
     return run(segments, manifest)
+
+
+def without_errors(df: DataFrame, error: str = "error") -> DataFrame:
+    """FLT-07."""
+    return df.filter(F.col(error).isNull())
+
+
+def pair_texts(pairs: Column) -> Column:
+    """AGG-38: struct(en, zh): the trimmed parts of the pairs that aren't empty, joined; null without any."""
+    kept = F.filter(F.transform(pairs, lambda p: F.struct(T.strip(T.blank(p["en"])).alias("en"), T.strip(T.blank(p["zh"])).alias("zh"))), lambda p: (p["en"] != "") | (p["zh"] != ""))
+    return F.when(F.size(kept) > 0, F.struct(F.array_join(F.transform(kept, lambda p: p["en"]), " ").alias("en"), F.array_join(F.transform(kept, lambda p: p["zh"]), "").alias("zh")))
+
+
+def first_level(*levels: Column) -> Column:
+    """AGG-39, FLT-30: struct(en, zh) of the first of several structs of arrays that has source parts; the order of preference is the caller's."""
+    def joined(level: Column) -> Column:
+        return F.struct(F.array_join(F.transform(level["en"], T.strip), " ").alias("en"), F.array_join(F.transform(level["zh"], T.strip), "").alias("zh"))
+
+    return F.coalesce(*[F.when((F.size(level["en"]) > 0) & level["zh"].isNotNull(), joined(level)) for level in levels])
+
+
+def all_target(*levels: Column) -> Column:
+    """AGG-40: the target parts of all levels joined; a text in three levels stands there three times."""
+    return F.concat(*[T.blank(F.array_join(level["zh"], "")) for level in levels])
+
+
+def local_source(full: Column, observed: Column, start: Column) -> Column:
+    """WIN-24: struct(full, observed) from the sentence's first word on."""
+    words = T.tokens(full)
+    first = F.greatest(F.lit(0), F.least(start, F.size(words)))
+    seen = F.least(F.size(T.tokens(observed)), F.size(words))
+    return F.struct(F.array_join(F.slice(words, first + 1, F.size(words)), " ").alias("full"), F.array_join(F.slice(words, first + 1, F.greatest(seen - first, F.lit(0))), " ").alias("observed"))

@@ -134,3 +134,13 @@ def clusters(df: DataFrame, key: str, item: str, vector: str, threshold: float =
         return pdf.iloc[largest_cluster(np.stack(pdf[vector].to_list()), threshold)][[key, item]]
 
     return df.select(key, item, vector).groupBy(key).applyInPandas(run, df.select(key, item).schema)
+
+
+def row_range(df: DataFrame, order: str, offset: int, count: int) -> DataFrame:
+    """SRC-33, SRC-36: ``count`` rows from ``offset`` in ``order``."""
+    return df.orderBy(order).offset(offset).limit(max(1, count))
+
+
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """SRC-37: the rows of one id; the filter reaches the scan."""
+    return df.filter(F.col(key) == F.lit(value))
