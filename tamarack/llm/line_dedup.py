@@ -6,10 +6,10 @@ occurrence, and every line that a later occurrence covers is removed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import staged
+from tamarack.llm.common import free_name, staged
 from tamarack.llm.exact_dedup import split_by_ids
 
 LINES = 3
@@ -51,11 +51,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count = F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("n_lines")
     whole = rest.select(*docs.columns, count, F.lit(0).cast("long").alias("n_removed"))
     met = maybe.join(gone, F.col(id_col) == F.col("__id"), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col("__lines"))
-    short = F.array_join(F.transform(kept, lambda p: F.get(_lines(text), p)), "\n")
+
+    def shortened(a: Column) -> Column:  # of lines split once: the text without the covered ones, and how many they were
+        kept = F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("__lines"))
+        return F.struct(F.array_join(F.transform(kept, lambda p: F.get(a, p)), "\n").alias("text"), (F.size(a) - F.size(kept)).cast("long").alias("n"))
+
+    name = free_name(met.columns, "cut")
+    met = met.withColumn(name, F.when(F.col("__lines").isNotNull() & text.isNotNull(), F.get(F.transform(F.array(_lines(text)), shortened), 0)))
     cut = met.select(
-        *[F.when(F.col("__lines").isNull() | text.isNull(), text).otherwise(short).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        count, F.when(F.col("__lines").isNull() | text.isNull(), 0).otherwise(F.size(F.array_intersect("__lines", F.sequence(F.lit(0), F.size(_lines(text)) - 1)))).cast("long").alias("n_removed"),
+        *[F.when(F.col(name).isNull(), text).otherwise(F.col(name)["text"]).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        count, F.coalesce(F.col(name)["n"], F.lit(0)).cast("long").alias("n_removed"),
     )
     return whole.unionByName(cut)
 

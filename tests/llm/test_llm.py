@@ -1,6 +1,7 @@
 """Corpus operators on a small table with nulls, empty and very long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -274,6 +276,20 @@ def test_warc(spark):
         assert [f["sha1"] for f in warc.write_warc(pages.repartition(3), again, roll_bytes=roll, shard_bytes=shard)] == [f["sha1"] for f in files]
     none = warc.fresh_path(spark, "warc-test")
     assert warc.write_warc(pages.limit(0), none) == []
+    with pytest.raises(FileExistsError):
+        warc.write_warc(pages, none)
+    os.remove(f"{folder.removeprefix('file://')}/{warc.MANIFEST}")  # as if the driver had died before it
+    assert [f["sha1"] for f in warc.write_warc(pages, folder, roll_bytes=roll, shard_bytes=shard)] == [f["sha1"] for f in files]
+
+
+def test_warc_records_in_chunks():
+    rng = random.Random(5)
+    pages = [(k, f"http://a/{k}", rng.randbytes(rng.choice([0, 10, 70_000, 200_000]))) for k in range(300)]
+    data = b"".join(warc.page_record(k, u, p, hashlib.sha1(p).hexdigest(), None, 0) for k, u, p in pages)
+    got = [(int(h["WARC-Page-ID"]), block.partition(b"\r\n\r\n")[2]) for h, block in warc.records(data)]
+    assert got == [(k, p) for k, _, p in pages]
+    with pytest.raises(ValueError):
+        list(warc.records(data[:-3]))
 
 
 def test_decontaminate(spark, docs, empty):
@@ -369,6 +385,15 @@ def test_sharding(spark, docs, empty):
     assert grown.version == 2 and set(grown.shard_of) == set(range(5)) and sum(a != b for a, b in zip(m.shard_of, grown.shard_of, strict=True)) < 20
     path = m.save(spark, sharding.fresh_path(spark, "map-test"))
     assert sharding.SlotMap.load(spark, path) == m
+    many = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 50 AS INT)) AS text")
+    load = lambda rows, shards: [sum(r["size"] for r in rows if r["shard"] == s) for s in range(shards)]
+    sizes = load(sharding.shard_documents(many).collect(), 16)
+    assert max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 16
+    total, _ = sharding.slot_totals(many, sharding.slot_of("doc_id"), F.octet_length("text") + 1)
+    old = sharding.SlotMap.load(spark, sharding.balanced_map(total).save(spark, sharding.fresh_path(spark, "map-test")))
+    edited = sharding.rebalanced(old, total, 17)
+    sizes = load(sharding.shard_documents(many, slot_map=edited).collect(), 17)
+    assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 17 and sum(a != b for a, b in zip(old.shard_of, edited.shard_of, strict=True)) < 0.1 * len(total)
     assert sharding.shard_documents(empty).count() == 0
 
 
@@ -498,3 +523,12 @@ def test_line_dedup(docs, empty):
     assert {i: r["text"] for i, r in got.items()} == want and any(gone.values())
     assert all(r["n_removed"] == len(gone[i]) and r["n_lines"] == (0 if r["text"] is None else len(dict((x[0], x[1]) for x in ROWS)[i].split("\n"))) for i, r in got.items())
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    lines = [f"line {i}" for i in range(30_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "x"), (2, "\n".join([*lines[:20_000], "own", *lines[20_000:]]), "y")], "doc_id long, text string, cut string")
+    began = time.time()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["cut"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: ("\n".join(lines), 30_000, 0, "x"), 2: ("own", 30_001, 30_000, "y")}
+    assert time.time() - began < 60
