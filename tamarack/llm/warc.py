@@ -28,6 +28,8 @@ SHARD_BYTES = 12 << 20
 CELLS = 16384
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of an archive that the reader decompresses at a time.
+CHUNK = 1 << 16
 MANIFEST = "manifest.json"
 
 
@@ -109,7 +111,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write a record for each row of ``pages`` to ``folder`` (a URI that executors reach) and return the manifest.
 
     Null html is an empty payload; a null url becomes an urn. Rows that repeat an id and a payload of MIN_REVISIT bytes
-    or more are written as revisits of the first. An empty table makes a manifest without files.
+    or more are written as revisits of the first. An empty table makes a manifest without files. Ids are whole numbers.
+    A folder without a manifest isn't finished: what a broken run left there is written anew; one with a manifest is
+    refused.
     """
     spark = pages.sparkSession
     shard_of, n = _shards(pages, id_col, html_col, shard_bytes)
@@ -183,9 +187,13 @@ def _commit(spark: SparkSession, folder: str, files: list[dict]) -> list[dict]:
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(folder))
+    if fs.exists(path(f"{folder}/{MANIFEST}")):
+        raise FileExistsError(f"{folder} holds a finished archive")
     out = []
     for f in files:
         name = f"part-{f['shard']:05d}-{f['seq']:05d}.warc.gz"
+        if fs.exists(path(f"{folder}/{name}")):  # left by a driver that died before its manifest
+            fs.delete(path(f"{folder}/{name}"), False)
         if not fs.rename(path(f"{folder}/_temporary/{f['temp']}"), path(f"{folder}/{name}")):
             raise OSError(f"can't rename to {folder}/{name}")
         out.append({"name": name, "bytes": f["bytes"], "records": f["records"], "sha1": f["sha1"]})
@@ -199,10 +207,16 @@ def _commit(spark: SparkSession, folder: str, files: list[dict]) -> list[dict]:
 
 def records(data: bytes):
     """(headers, block) of each gzip member of an archive."""
-    while data:
-        gz = zlib.decompressobj(31)
-        raw = gz.decompress(data) + gz.flush()
-        data = gz.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        gz, parts = zlib.decompressobj(31), []
+        while at < len(view) and not gz.eof:  # a chunk at a time: what follows the member is never copied whole
+            chunk = view[at : at + CHUNK]
+            parts.append(gz.decompress(chunk))
+            at += len(chunk) - len(gz.unused_data)
+        raw = b"".join(parts) + gz.flush()
+        if not gz.eof:
+            raise ValueError("an archive is cut off")
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
