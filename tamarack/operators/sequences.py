@@ -68,14 +68,19 @@ def safe_target(pairs: Column, observed: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(early, lambda p: p["t"])) + 1, F.lit(0))
 
 
+def _drawn(key: str, seed: int) -> Column:
+    """An order that key and seed fix, in any engine."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+
+
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """SRT-06: the ``n`` rows with the smallest hashes of key and seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(_drawn(key, seed), key).limit(n)
 
 
 def stratified_sample(df: DataFrame, by: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """SRT-07: the same in each stratum."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(by).orderBy(_drawn(key, seed), key)
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
 

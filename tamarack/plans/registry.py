@@ -458,12 +458,17 @@ def naive_match(spark, sf):
     return c.select("conv_id", "turn", F.array_join(align.naive_positions(F.col("a"), F.col("b")), ",").alias("places"))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM conversations),
+p AS (SELECT * FROM (SELECT conv_id, turn, a, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t) WHERE b IS NOT NULL),
+g AS (SELECT conv_id, turn, a, b, 0 AS i, 0 AS z, '' AS places FROM p
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, z + q, concat(places, ',', CASE WHEN q > 0 THEN z + q ELSE 0 END) FROM (SELECT *, coalesce(list_position(b[z + 1:], a[i + 1]), 0) AS q FROM g WHERE i < len(a)))
+SELECT conv_id, turn, substr(places, 2) AS places FROM g WHERE i = len(a)""")
 def greedy_match(spark, sf):
-    """JOI-18: a fold; held against a loop in the tests."""
+    """JOI-18, JOI-22: a fold."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.word_tokens(F.col("text")).alias("a"))
     c = c.withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b is not null")
-    return c.select("conv_id", "turn", align.greedy_positions(F.col("a"), F.col("b")).alias("places"))
+    return c.select("conv_id", "turn", F.array_join(align.greedy_positions(F.col("a"), F.col("b")), ",").alias("places"))
 
 
 @query("""
@@ -572,7 +577,29 @@ def char_bleu(spark, sf):
     return c.select("conv_id", "turn", metrics.char_bleu(F.col("text"), F.col("prev")).alias("bleu"))
 
 
-@query()
+#: Turns in capitals, as the stub model says them, with the words and characters so far. Spaces join the turns.
+_SAID = """WITH c AS (SELECT conv_id, turn, upper(replace(text, 'ß', 'SS')) AS t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations),
+w AS (SELECT *, row_number() OVER p AS i, count(*) OVER (PARTITION BY conv_id) AS turns, CAST(sum(n) OVER p AS BIGINT) AS words, string_agg(t, ' ') OVER p AS said FROM c WINDOW p AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+def _written(upto: str) -> str:
+    """SQL of a policy's output, from how many characters are committed after each turn."""
+    return f"""{_SAID}, v AS (SELECT *, last_value(said) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS whole FROM w),
+s AS (SELECT *, CASE WHEN i = turns THEN length(whole) ELSE {upto} END AS upto FROM v),
+d AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS before FROM s),
+e AS (SELECT *, substr(whole, CAST(before + 1 AS BIGINT), CAST(upto - before AS BIGINT)) AS delta FROM d)
+SELECT conv_id, string_agg(CASE WHEN upto > before THEN 'WRITE' ELSE 'READ' END, ' ' ORDER BY turn) AS actions, string_agg(delta, '|' ORDER BY turn) AS deltas, string_agg(delta, '' ORDER BY turn) AS prediction FROM e GROUP BY conv_id"""
+
+
+def spoken(rows: DataFrame) -> DataFrame:
+    """A policy's rows with actions and deltas as texts."""
+    return rows.withColumns({"actions": F.array_join("actions", " "), "deltas": F.array_join("deltas", "|")})
+
+
+@query(f"""{_SAID}, e AS (SELECT *, CASE WHEN i >= 3 THEN length(t) ELSE 0 END AS k FROM w),
+s AS (SELECT conv_id, max(words) AS x, CAST(sum(k) AS BIGINT) AS y, CAST(sum(k * words) AS BIGINT) AS total, CAST(sum(length(replace(t, ' ', ''))) AS BIGINT) AS ref FROM e GROUP BY conv_id),
+n AS (SELECT *, greatest(y, ref) AS n FROM s)
+SELECT conv_id, CASE WHEN y = 0 THEN CAST('nan' AS DOUBLE) ELSE (total + (n - y) * x - x * (n - 1) / 2) / n END AS laal FROM n""")
 def laal(spark, sf):
     """MTH-01: turns as source chunks, written back in capitals once three are there."""
     c = policies.wait_k_actions(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 3)
@@ -594,19 +621,19 @@ class _Echo:
         return source.upper()[len(committed) :]
 
 
-@query()
+@query(_written("CASE WHEN i < 3 THEN 0 ELSE length(said) END"))
 def wait_k_policy(spark, sf):
     """STR-01."""
-    return policies.run_grouped(table(spark, sf, "conversations"), lambda: policies.WaitK(_Echo.translate, _Echo.complete, 3), "conv_id", "turn", "text")
+    return spoken(policies.run_grouped(table(spark, sf, "conversations"), lambda: policies.WaitK(_Echo.translate, _Echo.complete, 3), "conv_id", "turn", "text"))
 
 
-@query()
+@query(_written("CASE WHEN i = 1 THEN length(said) ELSE lag(length(said)) OVER (PARTITION BY conv_id ORDER BY turn) END"))
 def local_agreement_policy(spark, sf):
     """STR-02."""
-    return policies.run_grouped(table(spark, sf, "conversations"), lambda: policies.LocalAgreement(_Echo.translate, _Echo.complete, 2), "conv_id", "turn", "text")
+    return spoken(policies.run_grouped(table(spark, sf, "conversations"), lambda: policies.LocalAgreement(_Echo.translate, _Echo.complete, 2), "conv_id", "turn", "text"))
 
 
-@query()
+@query(_written("12 * i + least(0, min(length(said) + 1 - 12 * i) OVER (PARTITION BY conv_id ORDER BY turn))"))
 def consensus_policy(spark, sf):
     """STR-05..07, on characters as tokens."""
 
@@ -617,10 +644,11 @@ def consensus_policy(spark, sf):
 
         return policies.Consensus(lambda o: ["a", "b", "c", "d"], dist, lambda ids: "".join(map(chr, ids)), _Echo.complete)
 
-    return policies.run_grouped(table(spark, sf, "conversations"), make, "conv_id", "turn", "text")
+    return spoken(policies.run_grouped(table(spark, sf, "conversations"), make, "conv_id", "turn", "text"))
 
 
-@query()
+@query("""
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat(doc_id, ':42')), doc_id) AS n FROM documents) WHERE n <= 20""")
 def stratified_sample(spark, sf):
     """SRT-07: a sampling operator."""
     return sequences.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", 20, "doc_id")

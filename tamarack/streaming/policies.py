@@ -53,9 +53,12 @@ class Policy:
     def delta(self, s: State) -> str:
         raise NotImplementedError
 
+    def observed(self, s: State) -> str:
+        return join_chunks(s.chunks)
+
     def step(self, s: State, chunk: str, last: bool) -> tuple[str, str]:
         s.chunks.append(chunk or "")
-        observed = join_chunks(s.chunks)
+        observed = self.observed(s)
         delta = self.complete(observed, s.committed) if last else self.delta(s) if observed else ""
         s.committed += delta
         return (WRITE if delta else READ), delta
