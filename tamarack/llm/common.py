@@ -22,9 +22,11 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all run on one machine (tests)."""
     conf = spark.sparkContext.getConf()
-    if not (where := conf.get("spark.checkpoint.dir", None) or spark.conf.get("tamarack.shared.dir", None)):
+    if not (where := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tamarack.shared.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tamarack-")
         spark.conf.set("tamarack.shared.dir", where)
         atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
