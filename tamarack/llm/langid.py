@@ -22,6 +22,8 @@ ORDERS = (2, 3, 4)
 #: Bound on the rows that training takes: so many of each language, and so many languages.
 SAMPLE_PER_LANG = 400
 MAX_LANGS = 64
+#: Rows of a language that are ranked, as a multiple of those taken; bytes of a text to learn from.
+SPARE, SAMPLE_BYTES = 4, 1 << 16
 #: Share of texts in the language they are labelled with that rejection may turn away on the calibration rows.
 FALSE_REJECTS = 0.002
 UNDETERMINED = "und"
@@ -117,18 +119,26 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, r
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Train on at most ``per_lang`` rows of each of at most MAX_LANGS languages whose crc32(id) mod 5 is not 0.
 
-    The rows are those with the smallest hashes of their ids, found on thin rows before any text is read.
+    The rows are those with the smallest hashes of their ids, found on thin rows before any text is read. A language's
+    count fixes a hash bound that some ``per_lang`` times SPARE rows are under, so that no task ranks a language's rows
+    but these. Ids that repeat come after those that don't, and are taken with all their rows or not at all, so one of
+    over ``per_lang`` rows never is. Texts of over SAMPLE_BYTES aren't learned from.
     """
     able = docs.filter((F.pmod(unsigned_crc(id_col), F.lit(5)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     thin = able.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("n") <= per_lang)
-    ids = [r["i"] for r in chosen.orderBy("n", "l").limit(per_lang * MAX_LANGS).select("i").collect()]
+    seen = thin.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()
+    if not seen:
+        return train([], [])
+    below = F.create_map(*[F.lit(x) for r in seen for x in (r["l"], min(2**63 - 1, -(2**63) + 2**64 * SPARE * per_lang // r["n"]))])
+    near = thin.filter(F.col("h") <= below[F.col("l")]).groupBy("l", "i", "h").agg(F.count("*").alias("m"))
+    first = Window.partitionBy("l").orderBy("m", "h", "i").rowsBetween(Window.unboundedPreceding, 0)
+    ids = near.withColumn("held", F.sum("m").over(first)).filter(F.col("held") <= per_lang).select("l", "i").collect()
     if not ids:
         return train([], [])
-    keys = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(F.col(id_col).alias("i")).schema)
-    rows = able.join(F.broadcast(keys.distinct()), F.col(id_col) == F.col("i"), "left_semi").select(id_col, text_col, lang_col).toPandas()
-    rows = rows.sort_values([id_col, text_col], kind="stable")
-    return train(rows[text_col].tolist(), rows[lang_col].tolist())
+    keys = docs.sparkSession.createDataFrame(ids, near.select("l", "i").schema)
+    short = able.filter(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    rows = short.join(F.broadcast(keys), ["l", "i"], "left_semi").select("i", "l", "t").toPandas().sort_values(["i", "t"], kind="stable")
+    return train(rows["t"].tolist(), rows["l"].tolist())
 
 
 def predict_batch(model: LanguageModel, texts) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -481,6 +481,18 @@ def test_language(spark, empty):
     assert langid.identify_languages(empty, langid.fit_language_model(empty)).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Of 4,000 rows a language, one id repeated and some texts very long, the model learns from so many rows and bytes."""
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda texts, langs: taken.update(texts=texts, langs=langs))
+    rows = [(i, f"text {i}", "aa" if i % 2 else "bb", 0, "") for i in range(8000)] + [(1, "z", "aa", 0, "")] * 3000
+    rows += [(9000 + i, "q" * 70_000, "cc", 0, "") for i in range(9)] + [(9000 + i, "short", "cc", 0, "") for i in range(9)] + [(None, "no id", "aa", 0, "")]
+    langid.fit_language_model(spark.createDataFrame(rows, SCHEMA), per_lang=5)
+    count = {v: taken["langs"].count(v) for v in ("aa", "bb", "cc")}
+    assert count["aa"] == count["bb"] == 5 and count["cc"] == 2 and set(map(len, taken["texts"])) <= set(range(10))
+    assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in taken["texts"] if t.startswith("text"))
+
+
 def test_pipeline(spark, tmp_path):
     """The chained stages keep what a brute-force chain of them keeps, and pack every token of it."""
     rng = random.Random(8)
