@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -44,6 +46,45 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What ``owner`` keeps in a Python worker from task to task, until a task of another owner begins there."""
+    return _kept.setdefault(owner, {})
+
+
+def forget_others(owner: str) -> None:
+    """Empty what all but ``owner`` keep in this process."""
+    if full := [d for k, d in _kept.items() if k != owner and d]:
+        for d in full:
+            d.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the allocators would hold it, and Spark uses a worker again for stage after stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def tidy(run, owner: str = ""):
+    """``run``, a function for mapInArrow, with no more memory left in the worker before and after it than ``owner`` keeps."""
+
+    def tidied(batches):
+        forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

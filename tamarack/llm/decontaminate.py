@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tamarack.llm.common import _power, fold, slices, small_batches, staged, utf8
+from tamarack.llm.common import _power, fold, slices, small_batches, staged, tidy, utf8
 
 Q = 8
 #: Edits allowed, as a share of an item's normalised bytes.
@@ -285,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return run
 
     for items, last in benchmark_parts(benchmark, item_col, item_text_col):
-        now = now.mapInArrow(one_pass(items, last), kind)
+        now = now.mapInArrow(tidy(one_pass(items, last)), kind)
         if not last:
             now = staged(now, "pass")
     ordered = F.array_sort("item_ids")
@@ -306,7 +306,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return run
 
     for items, last in benchmark_parts(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(one_pass(items), docs.schema)
+        docs = docs.mapInArrow(tidy(one_pass(items)), docs.schema)
         if not last:
             docs = staged(docs, "pass")
     return docs

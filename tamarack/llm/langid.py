@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.llm.common import fold, slices, small_batches, unsigned_crc, utf8
+from tamarack.llm.common import fold, slices, small_batches, tidy, unsigned_crc, utf8
 
 BUCKETS = 8192
 ORDERS = (2, 3, 4)
@@ -132,10 +132,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     below = F.create_map(*[F.lit(x) for r in seen for x in (r["l"], min(2**63 - 1, -(2**63) + 2**64 * SPARE * per_lang // r["n"]))])
     near = thin.filter(F.col("h") <= below[F.col("l")]).groupBy("l", "i", "h").agg(F.count("*").alias("m"))
     first = Window.partitionBy("l").orderBy("m", "h", "i").rowsBetween(Window.unboundedPreceding, 0)
-    ids = near.withColumn("held", F.sum("m").over(first)).filter(F.col("held") <= per_lang).select("l", "i").collect()
-    if not ids:
-        return train([], [])
-    keys = docs.sparkSession.createDataFrame(ids, near.select("l", "i").schema)
+    keys = near.withColumn("held", F.sum("m").over(first)).filter(F.col("held") <= per_lang).select("l", "i")
     short = able.filter(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = short.join(F.broadcast(keys), ["l", "i"], "left_semi").select("i", "l", "t").toPandas().sort_values(["i", "t"], kind="stable")
     return train(rows["t"].tolist(), rows["l"].tolist())
@@ -183,7 +180,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     fields = [*[f"c{k} {src.schema[f'c{k}'].dataType.simpleString()}" for k in range(len(keep))], "lang_pred string, score double, rejected boolean"]
     small_batches(docs.sparkSession)
-    out = src.mapInArrow(run, ", ".join(fields))
+    out = src.mapInArrow(tidy(run), ", ".join(fields))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "rejected")
 
 
@@ -197,7 +194,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
             yield b.filter(pa.array(~rejected))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

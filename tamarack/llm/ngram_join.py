@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_staged, fold, mix, shingles, slices, small_batches, staged, utf8, words
+from tamarack.llm.common import drop_staged, fold, mix, shingles, slices, small_batches, staged, tidy, utf8, words
 from tamarack.llm.components import connected_components
 from tamarack.llm.exact_dedup import rows_with_ids, rows_without_ids
 
@@ -110,7 +110,7 @@ def _signatures(docs: DataFrame, seed: int) -> DataFrame:
                     k.append(two)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "n_shingles", "cls", "chk"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, chk long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, chk long")
 
 
 def _matrix(docs: DataFrame, seed: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _matrix(docs: DataFrame, seed: int) -> DataFrame:
             if t:
                 yield batch(t, c)
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, hot boolean")
+    return docs.select("text").mapInArrow(tidy(run), "token long, cls long, hot boolean")
 
 
 def _shared_rows(matrix: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _shared_rows(matrix: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, c)], names=["token", "cls"])
 
     place = F.when(F.col("hot"), F.xxhash64("token", "cls")).otherwise(F.col("token"))
-    return matrix.repartition(place).sortWithinPartitions("token", "cls", "hot").mapInArrow(run, "token long, cls long")
+    return matrix.repartition(place).sortWithinPartitions("token", "cls", "hot").mapInArrow(tidy(run), "token long, cls long")
 
 
 def _sets(docs: DataFrame, seed: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _sets(docs: DataFrame, seed: int) -> DataFrame:
                     s = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array([set_hash(x)[0] for x in got], pa.int64()), pa.array(np.diff(at).astype(np.int64)), s], names=["cls", "n", "s"])
 
-    return docs.select("text").mapInArrow(run, "cls long, n long, s array<bigint>")
+    return docs.select("text").mapInArrow(tidy(run), "cls long, n long, s array<bigint>")
 
 
 def _enough(overlap, n, other):
@@ -275,7 +275,7 @@ def _opened(rows: DataFrame, every: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["u", "v", "weight"])
 
     dealt = rows.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "query", "cls")
-    return dealt.select("grp", "block", "part", "query", "cls", "comp", "weight", "s").mapInArrow(run, "u long, v long, weight long")
+    return dealt.select("grp", "block", "part", "query", "cls", "comp", "weight", "s").mapInArrow(tidy(run), "u long, v long, weight long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:

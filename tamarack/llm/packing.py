@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop_staged, small_batches, staged
+from tamarack.llm.common import drop_staged, kept, small_batches, staged, tidy
 
 CAPACITY = 2048
 #: Pieces that one task packs; a bound on its memory, not on the input.
@@ -128,7 +128,7 @@ class Encoder:
         return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept("packing")
 
 
 def encoder(path: str) -> Encoder:
@@ -167,7 +167,7 @@ def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(took, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(tidy(run, "packing"), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, list[int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tamarack.llm import components, decontaminate, exact_dedup, htmltext, langid, line_dedup, ngram_join, packing, quality, sharding, warc
+from tamarack.llm import common, components, decontaminate, exact_dedup, htmltext, langid, line_dedup, ngram_join, packing, quality, sharding, warc
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, block int, kept string"
@@ -493,6 +493,29 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in taken["texts"] if t.startswith("text"))
 
 
+def test_language_sample_takes_no_python_workers(spark, monkeypatch):
+    """Rows given to createDataFrame pass through workers of a second kind, which stay on each executor beside the operators' own."""
+    rows = spark.createDataFrame([(i, "abc abd" if i % 2 else "xyz xyw", "aa" if i % 2 else "bb", 0, "") for i in range(60)], SCHEMA)
+
+    def refused(*args, **more):
+        raise AssertionError("createDataFrame")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    assert langid.fit_language_model(rows).langs == ["aa", "bb"]
+
+
+def test_workers_keep_one_operators_cache(monkeypatch):
+    """A task of another operator drops what packing keeps in a worker, tasks of packing don't; freed memory goes back after each, also a broken one."""
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    packing.encoder(packing.tokenizer_path()).encode("some words")
+    assert list(common.tidy(iter, "packing")([1, 2])) == [1, 2] and packing._encoders and len(given) == 1
+    assert list(common.tidy(iter)([3])) == [3] and not packing._encoders and len(given) == 3
+    with pytest.raises(ZeroDivisionError):
+        list(common.tidy(lambda batches: (1 // b for b in batches))([0]))
+    assert len(given) == 4
+
+
 def test_pipeline(spark, tmp_path):
     """The chained stages keep what a brute-force chain of them keeps, and pack every token of it."""
     rng = random.Random(8)
